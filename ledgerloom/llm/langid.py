@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.grams import slices
 
 VOCABULARY = "piece_bpe_32k.model"
-FIT_ROWS = 4000
+FIT_ROWS = 3000
 MIN_CHARS = 150
 #: Nats that a change of language costs, and the most that one word may speak against a language.
 SWITCH = 7.0
@@ -92,24 +92,23 @@ def plain(text: str) -> str:
     return text.lower()
 
 
-def units(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, running) of the sentences and lines of a text; running tells prose from figures and labels."""
+def units(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of the sentences and lines of a text that are running text, not figures or labels."""
     out, at, open_sentence = [], 0, False
     for line in text.split("\n"):
         body = line.strip()
-        if not body:
-            open_sentence = False
-        else:
-            letters = sum(map(str.isalpha, body))
-            solid = len(body) - body.count(" ")
-            running = letters >= 0.55 * solid and "\t" not in body and (open_sentence or letters >= 15 and (body.count(" ") >= 3 or not body.isascii()))
-            begin = at
-            for m in _SENTENCE_END.finditer(line):
-                if m.end() < len(line):
-                    out.append((begin, at + m.start() if m.start() < m.end() else at + m.end(), running))
-                    begin = at + m.end()
-            out.append((begin, at + len(line.rstrip()), running))
+        if body:
+            cuts = [m.span() for m in _SENTENCE_END.finditer(line) if m.end() < len(line)]
+            parts = zip([0, *(e for _, e in cuts)], [*(b for b, _ in cuts), len(line)])
+            found = [(at + b, at + e, cut_words(line[b:e])) for b, e in parts]
+            letters = sum(map(len, chain.from_iterable([words for _, _, words in found])))
+            blanks = body.count(" ")
+            running = letters >= 0.55 * (len(body) - blanks) and "\t" not in body and (open_sentence or letters >= 15 and (blanks >= 3 or not body.isascii()))
+            if running:
+                out += found
             open_sentence = running and body[-1] not in ".!?。！？:;"
+        else:
+            open_sentence = False
         at += len(line) + 1
     return out
 
@@ -125,23 +124,24 @@ class Model:
 
     def forget(self) -> None:
         self.memo: dict[str, int] = {}
+        self.fresh: list[np.ndarray] = []
         self.scores = np.zeros((0, len(LANGUAGES)))
 
-    def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """rows[w, end, length]: the piece of that length that ends there; sizes."""
-        marked = ["▁" + w for w in words]
-        sizes = np.array([len(m) for m in marked])
-        rows = np.full((len(words), int(sizes.max(initial=0)) + 1, MAX_PIECE + 1), self.never, np.int32)
+    def lattice(self, words: list[str]) -> np.ndarray:
+        """rows[w, end, length]: the piece of that length that ends there. The words are of one size."""
+        size = len(words[0]) + 1
+        rows = np.full((len(words), size + 1, MAX_PIECE + 1), self.never, np.int32)
         row = self.row
-        for w, m in enumerate(marked):
-            for end in range(1, len(m) + 1):
-                for n in range(1, min(end, MAX_PIECE) + 1):
-                    r = row.get(m[end - n : end])
-                    if r is not None:
-                        rows[w, end, n] = r
-                if rows[w, end, 1] == self.never:
-                    rows[w, end, 1] = self.unknown
-        return rows, sizes
+        spans = [(end, n) for end in range(1, size + 1) for n in range(1, min(end, MAX_PIECE) + 1)]
+        for w, word in enumerate(words):
+            m = "▁" + word
+            for end, n in spans:
+                r = row.get(m[end - n : end])
+                if r is not None:
+                    rows[w, end, n] = r
+        single = rows[:, 1:, 1]
+        single[single == self.never] = self.unknown
+        return rows
 
     def forward(self, rows: np.ndarray) -> np.ndarray:
         """alpha[w, end, language]: the probability of a word's prefix over all its segmentations."""
@@ -152,16 +152,15 @@ class Model:
                 alpha[:, end] += alpha[:, end - n] * self.probability[rows[:, end, n]]
         return alpha
 
-    def expected(self, rows: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def expected(self, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected count of every piece in each language, given counts[w, language] of the words."""
         alpha = self.forward(rows)
         beta = np.zeros_like(alpha)
-        at = np.arange(len(sizes))
-        beta[at, sizes] = 1
+        beta[:, -1] = 1
         for begin in range(rows.shape[1] - 2, -1, -1):
             for n in range(1, min(rows.shape[1] - 1 - begin, MAX_PIECE) + 1):
                 beta[:, begin] += beta[:, begin + n] * self.probability[rows[:, begin + n, n]]
-        weight = counts / np.maximum(alpha[at, sizes], 1e-300)
+        weight = counts / np.maximum(alpha[:, -1], 1e-300)
         out = np.zeros_like(self.probability)
         for end in range(1, rows.shape[1]):
             for n in range(1, min(end, MAX_PIECE) + 1):
@@ -182,21 +181,19 @@ class Model:
             if len(memo) + len(new) > MEMO and memo:
                 self.forget()
                 return self.look_up(words)
-            parts = []
-            for b in range(0, len(new), 4000):
-                some = new[b : b + 4000]
-                rows, sizes = self.lattice(some)
-                s = np.log(np.maximum(self.forward(rows)[np.arange(len(some)), sizes], 1e-300))
-                parts.append(np.maximum(s, s.max(axis=1, keepdims=True) - WORD_CAP))
-            memo.update(zip(new, range(len(memo), len(memo) + len(new))))
-            self.scores = np.concatenate([self.scores, *parts])
+            for some in same_sizes(new):
+                rows = self.lattice(some)
+                s = np.log(np.maximum(self.forward(rows)[:, -1], 1e-300))
+                memo.update(zip(some, range(len(memo), len(memo) + len(some))))
+                self.fresh.append(np.maximum(s, s.max(axis=1, keepdims=True) - WORD_CAP))
+            self.scores = np.concatenate([self.scores, *self.fresh])
+            self.fresh = []
         return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
 
-    def unit_scores(self, texts: list[str]) -> np.ndarray:
-        """[unit, language]: log probabilities; zeros for a unit without words."""
-        words = [cut_words(t) for t in texts]
+    def unit_scores(self, words: list[list[str]]) -> np.ndarray:
+        """[unit, language]: log probabilities of each unit's words; zeros for a unit without words."""
         sizes = np.array([len(w) for w in words], np.int64)
-        out = np.zeros((len(texts), len(LANGUAGES)))
+        out = np.zeros((len(words), len(LANGUAGES)))
         if sizes.sum():
             rows = self.look_up(list(chain.from_iterable(words)))
             some = np.flatnonzero(sizes)
@@ -205,10 +202,20 @@ class Model:
         return out
 
 
+def same_sizes(words: list[str], most: int = 4000) -> Iterator[list[str]]:
+    """The words in groups of one size."""
+    by: dict[int, list[str]] = defaultdict(list)
+    for w in words:
+        by[len(w)].append(w)
+    for some in by.values():
+        for b in range(0, len(some), most):
+            yield some[b : b + most]
+
+
 def cut_words(text: str) -> list[str]:
     """Words of letters, long ones (and runs without blanks) cut to MAX_WORD letters."""
     found = _WORD.findall(plain(text))
-    if all(len(w) <= MAX_WORD for w in found):
+    if not found or max(map(len, found)) <= MAX_WORD:
         return found
     return [w[i : i + MAX_WORD] for w in found for i in range(0, len(w), MAX_WORD)]
 
@@ -223,44 +230,40 @@ def read_pieces(path: str | None = None) -> list[str]:
     return [model.id_to_piece(i) for i in all_ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
 
 
-def fit(sample: list[tuple[str, str | None]], pieces: list[str], rounds: int = 3) -> Model:
+def fit(sample: list[tuple[str, str | None]], pieces: list[str], rounds: int = 2) -> Model:
     """A model from labelled texts; see above."""
     n = len(LANGUAGES)
     start = np.full((len(pieces) + 2, n), 1e-5)
     start[: len(pieces)] = 1e-4 * np.array([len(p) for p in pieces], float)[:, None]
     start[-1] = 0
     model = Model(pieces, start / start.sum(axis=0))
-    said = [(" ".join((text[a:b]).split()), _INDEX.get(label_language(label), -1)) for text, label in sample if text for a, b, running in units(text) if running]
-    anchors = [(words, _INDEX[lang]) for lang, words in ANCHORS.items() for _ in range(20)]
+    said = [(words, _INDEX.get(label_language(label), -1)) for text, label in sample if text for _, _, words in units(text) if words]
+    anchors = [(words.split(), _INDEX[lang]) for lang, words in ANCHORS.items() for _ in range(20)]
+    lattices: dict[str, tuple[list[str], np.ndarray]] = {}
     for turn in range(rounds):
         counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
-        by_text = Counter(said) + Counter(anchors)
-        for (text, lang), k in by_text.items():
-            if lang >= 0:
-                for w in cut_words(text):
-                    counts[w][lang] += k
-        words = list(counts)
-        table = np.array([counts[w] for w in words]).reshape(len(words), n)
-        rows, sizes = model.lattice(words)
-        for _ in range(3):
-            seen = model.expected(rows, sizes, table)
+        for lang in range(n):
+            for w, k in Counter(chain.from_iterable(words for words, own in chain(said, anchors) if own == lang)).items():
+                counts[w][lang] += k
+        if not lattices:
+            lattices = {some[0]: (some, model.lattice(some)) for some in same_sizes(list(counts))}
+        nothing = np.zeros(n)
+        tables = {k: np.array([counts.get(w, nothing) for w in some]) for k, (some, _) in lattices.items()}
+        for _ in range(2):
+            seen = sum(model.expected(rows, tables[k]) for k, (_, rows) in lattices.items())
             own = seen / np.maximum(seen.sum(axis=0), 1)
             base = own.mean(axis=1, keepdims=True) + 1e-8
-            base[-1] = 0
             # languages with little text lean on the average of all
-            lean = 200.0 / (200.0 + seen.sum(axis=0))
-            lean = np.maximum(lean, 0.01)
-            probability = (1 - lean) * own + lean * base
-            probability[model.unknown] = 1e-7
-            probability[model.never] = 0
-            model.probability = probability
+            lean = np.maximum(200.0 / (200.0 + seen.sum(axis=0)), 0.01)
+            model.probability = (1 - lean) * own + lean * base
+            model.probability[model.unknown] = 1e-7
+            model.probability[model.never] = 0
         model.forget()
         if turn < rounds - 1:
-            texts = [t for t, _ in said]
-            scores = model.unit_scores(texts)
+            scores = model.unit_scores([words for words, _ in said])
             best = scores.argmax(axis=1)
-            sure = np.sort(scores, axis=1)
-            said = [(t, int(b)) if m > SWITCH else (t, -1) for t, b, m in zip(texts, best, sure[:, -1] - sure[:, -2])]
+            order = np.sort(scores, axis=1)
+            said = [(words, int(b)) if sure else (words, -1) for (words, _), b, sure in zip(said, best, order[:, -1] - order[:, -2] > SWITCH)]
     return model
 
 
@@ -284,9 +287,9 @@ def stretches(model: Model, texts: list[str | None]) -> list[list[tuple[int, int
     confidence: the language's posterior among all, with equal priors, per ten words of the stretch at most, so that it
     doesn't saturate with length.
     """
-    cut = [[u for u in units(t) if u[2]] if t else [] for t in texts]
+    cut = [units(t) if t else [] for t in texts]
     sizes = np.array([len(u) for u in cut])
-    scores = model.unit_scores([t[a:b] for t, us in zip(texts, cut) for a, b, _ in us])
+    scores = model.unit_scores([words for us in cut for _, _, words in us])
     ends = np.cumsum(sizes)
     begin = ends - sizes
     some = np.flatnonzero(sizes)
@@ -328,13 +331,12 @@ def fitted(documents: DataFrame, vocabulary: str | None = None, fit_rows: int =
     return fit([(r.text, r.lang) for r in rows], read_pieces(vocabulary))
 
 
-SEGMENTS = "doc_id long, lang_label string, start int, end int, n_chars int, lang string, confidence double"
-
-
-def segments(documents: DataFrame, vocabulary: str | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, lang_label, start, end, n_chars, lang, confidence): each stretch of one language of every document."""
+def _scanned(documents: DataFrame, schema: str, rows_of, vocabulary: str | None, fit_rows: int) -> DataFrame:
+    """rows_of(doc_id, label, stretches) for each document, with a model fitted on them and sent to every task."""
     model = fitted(documents, vocabulary, fit_rows)
     shipped = documents.sparkSession.sparkContext.broadcast((list(model.row), model.probability))
+    names = [f.split()[0] for f in schema.split(", ")]
+    types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}[f.split()[1]] for f in schema.split(", ")]
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
@@ -342,27 +344,37 @@ def segments(documents: DataFrame, vocabulary: str | None = None, fit_rows: int
             own = own or Model(*shipped.value)
             ids, labels, texts = (batch.column(c).to_pylist() for c in range(3))
             for part in slices(texts):
-                rows = [
-                    (ids[i], labels[i], a, b, n, LANGUAGES[lang], confidence)
-                    for i, found in zip(part, stretches(own, [texts[i] for i in part]))
-                    for a, b, n, lang, confidence in found
-                ]
-                types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, types)],
-                    names=["doc_id", "lang_label", "start", "end", "n_chars", "lang", "confidence"],
-                )
+                found = stretches(own, [texts[i] for i in part])
+                rows = [r for i, f in zip(part, found) for r in rows_of(ids[i], labels[i], f)]
+                columns = list(zip(*rows)) if rows else [()] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    return documents.select("doc_id", "lang", "text").mapInArrow(scan, schema)
+
 
-    return documents.select("doc_id", "lang", "text").mapInArrow(scan, SEGMENTS)
+def segments(documents: DataFrame, vocabulary: str | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, lang_label, start, end, n_chars, lang, confidence): each stretch of one language of every document."""
+
+    def rows_of(doc, label, found):
+        return [(doc, label, a, b, n, LANGUAGES[lang], confidence) for a, b, n, lang, confidence in found]
+
+    schema = "doc_id long, lang_label string, start int, end int, n_chars int, lang string, confidence double"
+    return _scanned(documents, schema, rows_of, vocabulary, fit_rows)
 
 
 def document_languages(documents: DataFrame, vocabulary: str | None = None, fit_rows: int = FIT_ROWS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, lang_label, lang, n_chars, confidence, n_langs): the languages that count in each document."""
-    per = segments(documents, vocabulary, fit_rows).groupBy("doc_id", "lang_label", "lang").agg(
-        F.sum("n_chars").alias("n_chars"), (F.sum(F.col("confidence") * F.col("n_chars")) / F.sum("n_chars")).alias("confidence")
-    ).filter(F.col("n_chars") >= min_chars)
-    n = per.groupBy("doc_id").agg(F.countDistinct("lang").alias("n_langs"))
-    return per.join(n, "doc_id")
+
+    def rows_of(doc, label, found):
+        chars, sure = Counter(), Counter()
+        for _, _, n, lang, confidence in found:
+            chars[lang] += n
+            sure[lang] += n * confidence
+        counted = [lang for lang, n in chars.items() if n >= min_chars]
+        return [(doc, label, LANGUAGES[k], chars[k], sure[k] / chars[k], len(counted)) for k in counted]
+
+    schema = "doc_id long, lang_label string, lang string, n_chars int, confidence double, n_langs int"
+    return _scanned(documents, schema, rows_of, vocabulary, fit_rows)
 
 
 def mislabelled(languages: DataFrame) -> DataFrame:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import leaks, sitelines, splitting
+from ledgerloom.llm import bpe, langid, leaks, neardup, sitelines, spans, splitting
 from ledgerloom.sources.tables import table
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, root, "sections"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return sitelines.recurring_line_places(table(spark, root, "sections"), table(spark, root, "filings"))
 
@@ -18,6 +22,15 @@ def p3_cleaned(spark: SparkSession, root: str) -> DataFrame:
     return out.select("section_id", F.length("text").cast("bigint").alias("n_chars"), F.col("n_removed").cast("bigint").alias("n_removed"))
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return spans.shared_spans(table(spark, root, "sections")).select("section_a", "section_b").distinct()
+
+
+def p4_shares(spark: SparkSession, root: str) -> DataFrame:
+    sections = table(spark, root, "sections")
+    return spans.shared_amounts(spans.shared_spans(sections), sections)
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return splitting.audit(table(spark, root, "chunks"), table(spark, root, "sections"))
 
@@ -26,6 +39,10 @@ def p5_pieces(spark: SparkSession, root: str) -> DataFrame:
     return splitting.split_sections(table(spark, root, "sections"))
 
 
+def p7_ids(spark: SparkSession, root: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, root, "documents"))
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks.leaks(table(spark, root, "documents"), table(spark, root, "eval_cases")).select("doc_id", "case_id").distinct()
 
@@ -37,6 +54,14 @@ def p8_runs(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return langid.mislabelled(langid.document_languages(table(spark, root, "documents"))).select("doc_id", "lang").distinct()
+
+
+def p9_segments(spark: SparkSession, root: str) -> DataFrame:
+    return langid.segments(table(spark, root, "documents")).drop("lang_label")
+
+
 _ACC = "TRY_CAST(regexp_replace(accession, '[^0-9]', '', 'g') AS BIGINT)"
 _LINES = rf"""
 WITH sites AS (
@@ -55,14 +80,29 @@ WITH sites AS (
 ), places AS (SELECT DISTINCT section_id, line_no FROM lines JOIN marks USING (cik, letters))
 """
 
-QUERIES = {"p3_found": p3_found, "p3_cleaned": p3_cleaned, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_runs": p8_runs}
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p3_found, p3_cleaned, p4_found, p4_shares, p5_found, p5_pieces, p7_ids, p8_found, p8_runs, p9_found, p9_segments)
+}
 SQL = {
+    "p2_found": r"""
+WITH s AS (SELECT DISTINCT section_id, lower(trim(slug)) AS slug, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM sections WHERE text IS NOT NULL),
+t AS (SELECT DISTINCT section_id, slug, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM s WHERE len(w) >= 100),
+n AS (SELECT section_id, count(*) AS n FROM t GROUP BY section_id),
+c AS (SELECT a.section_id AS a, b.section_id AS b, count(*) AS k FROM t a JOIN t b ON a.g = b.g AND a.slug = b.slug AND a.section_id < b.section_id GROUP BY 1, 2)
+SELECT c.a AS section_a, c.b AS section_b FROM c JOIN n x ON x.section_id = c.a JOIN n y ON y.section_id = c.b WHERE k >= 0.6 * (x.n + y.n - k)""",
     "p3_found": _LINES + "SELECT section_id, line_no FROM places",
     "p3_cleaned": _LINES
     + """, drops AS (SELECT section_id, list(line_no) AS gone FROM places GROUP BY section_id), texts AS (SELECT DISTINCT section_id, text FROM sections)
 SELECT t.section_id, CAST(length(CASE WHEN d.gone IS NULL THEN t.text ELSE array_to_string(list_filter(string_split(t.text, chr(10)), lambda x, i: NOT list_contains(d.gone, i - 1)), chr(10)) END) AS BIGINT) AS n_chars,
        CAST(coalesce(len(d.gone), 0) AS BIGINT) AS n_removed
 FROM texts t LEFT JOIN drops d USING (section_id)""",
+    "p4_found": r"""
+WITH s AS (SELECT DISTINCT section_id, regexp_replace(accession, '[^0-9]', '', 'g') AS acc, text FROM sections WHERE length(text) >= 300),
+w AS (SELECT section_id, acc, hash(substr(text, i, 300)) AS h FROM (SELECT section_id, acc, text, unnest(range(1, length(text) - 298)) AS i FROM s)),
+r AS (SELECT h FROM w GROUP BY h HAVING min(acc) <> max(acc)),
+k AS (SELECT DISTINCT w.* FROM w JOIN r USING (h))
+SELECT DISTINCT a.section_id AS section_a, b.section_id AS section_b FROM k a JOIN k b ON a.h = b.h AND a.acc <> b.acc AND a.section_id < b.section_id""",
     "p5_found": r"""
 WITH c AS (
   SELECT DISTINCT chunk_id, ordinal, text,
