@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, langid, leaks, neardup, sitelines, spans, splitting
+from ledgerloom.llm import bpe, langid, leaks, neardup, quality, sitelines, spans, splitting
 from ledgerloom.sources.tables import table
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return quality.findings(table(spark, root, "sections"))
+
+
+def p1_statistics(spark: SparkSession, root: str) -> DataFrame:
+    return quality.statistics(table(spark, root, "sections"))
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, root, "sections"))
 
@@ -82,7 +90,7 @@ WITH sites AS (
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p3_found, p3_cleaned, p4_found, p4_shares, p5_found, p5_pieces, p7_ids, p8_found, p8_runs, p9_found, p9_segments)
+    for f in (p1_found, p1_statistics, p2_found, p3_found, p3_cleaned, p4_found, p4_shares, p5_found, p5_pieces, p7_ids, p8_found, p8_runs, p9_found, p9_segments)
 }
 SQL = {
     "p2_found": r"""
