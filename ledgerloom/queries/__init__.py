@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.queries import references
+from ledgerloom.queries import quality_queries, references, signal_queries, text_queries
 
-MODULES = (references,)
+MODULES = (references, signal_queries, text_queries, quality_queries)
 
 
 def queries() -> dict:
