@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, as in tests, a folder of this machine."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/ledgerloom-checkpoints"
+    """The folder named by spark.checkpoint.dir; where that is unset, a folder of this machine if all of Spark runs on it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or f"file://{tempfile.gettempdir()}/ledgerloom-checkpoints"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
