@@ -31,12 +31,11 @@ def p3_cleaned(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    return spans.shared_spans(table(spark, root, "sections")).select("section_a", "section_b").distinct()
+    return spans.shared_pairs(table(spark, root, "sections"))
 
 
 def p4_shares(spark: SparkSession, root: str) -> DataFrame:
-    sections = table(spark, root, "sections")
-    return spans.shared_amounts(spans.shared_spans(sections), sections)
+    return spans.shared_amounts(table(spark, root, "sections"))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:

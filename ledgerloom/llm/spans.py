@@ -11,6 +11,9 @@
    meet by the hash of the passage with that much text on either side.
 4. Each pair of records that met is held side by side at the offset found, and its common runs are measured.
 
+Equal texts are one class from the start (by a 64-bit hash): grams, occurrences and comparisons are made once per class,
+and only the pairs asked for are spread over its members.
+
 Every character counts, blanks and line ends too. Texts under LEAST characters, null texts and null section ids share
 nothing. Sections of one accession are no pair; an accession without eighteen digits is compared as its text, a null
 one as its own section's. Repeated rows count once. Extra columns are ignored. Empty tables give an empty result.
@@ -94,15 +97,15 @@ def passages_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _own(sections: DataFrame) -> DataFrame:
-    """(sid, acc, section_id, text): the sections that can share a span; sid and acc are 64-bit keys."""
+    """(cid, acc, section_id, text): the sections that can share a span; cid (of the text) and acc are 64-bit keys."""
     acc = F.coalesce(keys.accession_key(F.col("accession")), F.concat(F.lit("!"), F.col("section_id")))
     return sections.filter(F.col("section_id").isNotNull() & (F.length("text") >= LEAST)).select(
-        F.xxhash64("section_id").alias("sid"), F.coalesce(keys.accession_number(F.col("accession")), F.xxhash64(acc)).alias("acc"), "section_id", "text"
+        F.xxhash64("text").alias("cid"), F.coalesce(keys.accession_number(F.col("accession")), F.xxhash64(acc)).alias("acc"), "section_id", "text"
     )
 
 
 def kept_grams(own: DataFrame) -> DataFrame:
-    """(gram, acc, sid, pos)"""
+    """(gram, cid, pos, lo, hi): each class's grams once, with the least and greatest accession that has the class."""
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -111,10 +114,11 @@ def kept_grams(own: DataFrame) -> DataFrame:
                 which, place, value = passages_of([texts[i] for i in part])
                 rows = batch.slice(part.start, len(part)).select([0, 1]).take(pa.array(which))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(value.view(np.int64)), rows.column(1), rows.column(0), pa.array(place.astype(np.int32))], names=["gram", "acc", "sid", "pos"]
+                    [pa.array(value.view(np.int64)), rows.column(1), rows.column(0), pa.array(place.astype(np.int32))], names=["gram", "acc", "cid", "pos"]
                 )
 
-    return own.select("sid", "acc", "text").mapInArrow(scan, "gram long, acc long, sid long, pos int")
+    rows = own.select("cid", "acc", "text").mapInArrow(scan, "gram long, acc long, cid long, pos int")
+    return rows.groupBy("gram", "cid").agg(F.min("pos").alias("pos"), F.min("acc").alias("lo"), F.max("acc").alias("hi"))
 
 
 def _hash(text: str) -> int:
@@ -122,13 +126,13 @@ def _hash(text: str) -> int:
 
 
 def occurrences(routed: DataFrame) -> DataFrame:
-    """(around, acc, sid, pos): where passages occur, with the hash of the passage and REACH characters on one side."""
+    """(around, cid, pos): where passages occur, with the hash of the passage and REACH characters on one side."""
 
     def stream(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, automaton = None, None
         for batch in it:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for rep, sid, acc, text, passages in zip(*(c.to_pylist() for c in batch.columns)):
+            out: tuple[list, list, list] = ([], [], [])
+            for rep, cid, text, passages in zip(*(c.to_pylist() for c in batch.columns)):
                 if automaton is None or rep != shard:
                     shard, automaton = rep, ahocorasick.Automaton()
                     for p in passages:
@@ -142,13 +146,11 @@ def occurrences(routed: DataFrame) -> DataFrame:
                     if end + REACH <= len(text):
                         sides.append(_hash(">" + text[start : end + REACH]))
                     for h in sides:
-                        for column, v in zip(out, (h, acc, sid, start)):
+                        for column, v in zip(out, (h, cid, start)):
                             column.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["around", "acc", "sid", "pos"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32()))], names=["around", "cid", "pos"])
 
-    return routed.mapInArrow(stream, "around long, acc long, sid long, pos int").distinct()
+    return routed.mapInArrow(stream, "around long, cid long, pos int").distinct()
 
 
 def common_runs(a: np.ndarray, b: np.ndarray, offset: int, least: int = LEAST) -> list[tuple[int, int]]:
@@ -162,57 +164,78 @@ def common_runs(a: np.ndarray, b: np.ndarray, offset: int, least: int = LEAST) -
     return [(int(s) + lo, int(e - s)) for s, e in zip(begin, end) if e - s >= least]
 
 
-def shared_spans(sections: DataFrame) -> DataFrame:
-    """(section_a, section_b, start_a, start_b, n_chars): every maximal shared span of LEAST characters or more."""
-    own = _own(sections)
+def class_spans(own: DataFrame) -> DataFrame:
+    """(cid_a, cid_b, start_a, start_b, n_chars): every maximal span of LEAST characters or more that two classes share.
+
+    Classes that stand under one and the same accession only are left out.
+    """
     grams = written(kept_grams(own), "span-grams")
     recurring = (
-        grams.groupBy("gram").agg(F.min(F.struct("acc", "sid", "pos")).alias("first"), F.max("acc").alias("last"))
-        .filter(F.col("first.acc") != F.col("last"))
-        .select("gram", F.col("first.sid").alias("rep"), F.col("first.pos").alias("pos"))
+        grams.groupBy("gram").agg(F.min(F.struct("lo", "cid", "pos")).alias("first"), F.min("cid").alias("c"), F.max("cid").alias("d"), F.max("hi").alias("hi"))
+        .filter((F.col("c") != F.col("d")) & (F.col("first.lo") != F.col("hi")))
+        .select("gram", F.col("first.cid").alias("rep"), F.col("first.pos").alias("pos"))
     )
     recurring = written(recurring, "span-passages")
     # few records hold recurring passages; from here on only their texts are moved
-    routes = grams.select("gram", "sid").join(recurring.select("gram", "rep"), "gram").select("rep", "sid").distinct()
-    routes = written(routes, "span-routes")
-    touched = own.join(routes.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"])
+    routes = written(grams.select("gram", "cid").join(recurring.select("gram", "rep"), "gram").select("rep", "cid").distinct(), "span-routes")
+    bounds = grams.groupBy("cid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    touched = own.select("cid", "text").join(routes.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
     touched = written(touched, "span-texts")
     places = recurring.groupBy("rep").agg(F.collect_set("pos").alias("places"))
-    shards = places.join(touched.select(F.col("sid").alias("rep"), "text"), "rep").select(
+    shards = places.join(touched.withColumnRenamed("cid", "rep"), "rep").select(
         "rep", F.expr(f"transform(places, p -> substring(text, p + 1, {GRAM}))").alias("passages")
     )
-    routed = routes.join(touched.select("sid", "acc", "text"), "sid").join(shards, "rep")
-    found = occurrences(routed.select("rep", "sid", "acc", "text", "passages"))
-    found = written(found, "span-occurrences")
+    routed = routes.join(touched, "cid").join(shards, "rep").select("rep", "cid", "text", "passages")
+    found = written(occurrences(routed), "span-occurrences")
     met = (
-        found.toDF("around", "acc_a", "sid_a", "pos_a").join(found.toDF("around", "acc_b", "sid_b", "pos_b"), "around")
-        .filter("acc_a <> acc_b and sid_a < sid_b")
-        .select("sid_a", "sid_b", (F.col("pos_a") - F.col("pos_b")).alias("offset"))
+        found.toDF("around", "cid_a", "pos_a").join(found.toDF("around", "cid_b", "pos_b"), "around").filter("cid_a < cid_b")
+        .select("cid_a", "cid_b", (F.col("pos_a") - F.col("pos_b")).alias("offset"))
         .distinct()
+        .join(bounds.toDF("cid_a", "lo_a", "hi_a"), "cid_a").join(bounds.toDF("cid_b", "lo_b", "hi_b"), "cid_b")
+        .filter("least(lo_a, lo_b) <> greatest(hi_a, hi_b)")
     )
-    text = touched.select("sid", "section_id", "text")
-    sided = met.join(text.toDF("sid_a", "section_a", "text_a"), "sid_a").join(text.toDF("sid_b", "section_b", "text_b"), "sid_b")
+    sided = met.join(touched.toDF("cid_a", "text_a"), "cid_a").join(touched.toDF("cid_b", "text_b"), "cid_b")
 
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             rows = []
             for a, b, offset, s, t in zip(*(c.to_pylist() for c in batch.columns)):
-                for start, n in common_runs(codes(s), codes(t), offset):
-                    rows.append((a, b, start, start - offset, n) if a < b else (b, a, start - offset, start, n))
-            types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+                rows += [(a, b, start, start - offset, n) for start, n in common_runs(codes(s), codes(t), offset)]
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names=["section_a", "section_b", "start_a", "start_b", "n_chars"]
+                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names=["cid_a", "cid_b", "start_a", "start_b", "n_chars"]
             )
 
-    schema = "section_a string, section_b string, start_a int, start_b int, n_chars int"
-    return sided.select("section_a", "section_b", "offset", "text_a", "text_b").mapInArrow(measure, schema)
+    schema = "cid_a long, cid_b long, start_a int, start_b int, n_chars int"
+    return sided.select("cid_a", "cid_b", "offset", "text_a", "text_b").mapInArrow(measure, schema)
 
 
-def shared_amounts(spans: DataFrame, sections: DataFrame) -> DataFrame:
-    """(section_id, n_chars, n_shared): how much of each section stands in others, overlapping spans counted once."""
-    places = spans.select("section_a", "start_a", "n_chars").toDF("section_id", "start", "n").unionByName(
-        spans.select("section_b", "start_b", "n_chars").toDF("section_id", "start", "n")
-    ).distinct()
+def shared_pairs(sections: DataFrame) -> DataFrame:
+    """(section_a, section_b), section_a < section_b: the pairs of sections of two accessions that share a span."""
+    own = _own(sections)
+    members = own.select("cid", "acc", "section_id").distinct()
+    linked = class_spans(own).select("cid_a", "cid_b").distinct()
+    copied = members.groupBy("cid").agg(F.min("acc").alias("lo"), F.max("acc").alias("hi")).filter("lo <> hi").select(F.col("cid").alias("cid_a"), F.col("cid").alias("cid_b"))
+    both = linked.unionByName(copied)
+    wide = both.join(members.toDF("cid_a", "acc_a", "x"), "cid_a").join(members.toDF("cid_b", "acc_b", "y"), "cid_b").filter("acc_a <> acc_b and x <> y")
+    return wide.select(F.least("x", "y").alias("section_a"), F.greatest("x", "y").alias("section_b")).distinct()
+
+
+def shared_amounts(sections: DataFrame) -> DataFrame:
+    """(section_id, n_chars, n_shared): how much of each section stands in sections of other accessions.
+
+    Overlapping spans count once; a text that stands under two accessions is shared as a whole. Every section id has one
+    row; a null text has 0 characters.
+    """
+    own = _own(sections)
+    members = own.select("cid", "acc", "section_id", F.length("text").alias("n")).distinct()
+    bounds = members.groupBy("cid").agg(F.min("acc").alias("lo"), F.max("acc").alias("hi"))
+    spans = written(class_spans(own), "span-shares")
+    sides = spans.selectExpr("cid_a AS cid", "cid_b AS other", "start_a AS start", "n_chars AS n").unionAll(spans.selectExpr("cid_b", "cid_a", "start_b", "n_chars"))
+    sides = sides.join(bounds.toDF("other", "lo", "hi"), "other").distinct()
+    places = sides.join(members.select("cid", "acc", "section_id"), "cid").filter("NOT (lo = acc AND hi = acc)").select("section_id", "start", "n")
+    whole = members.join(bounds.filter("lo <> hi").select("cid"), "cid", "left_semi").select("section_id", F.lit(0).alias("start"), "n")
+    places = places.unionByName(whole).distinct()
     # the covered length is the sum of what each span adds beyond the furthest end before it
     before = F.expr("max(start + n) over (partition by section_id order by start, n rows between unbounded preceding and 1 preceding)")
     added = F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest(F.col("start"), F.coalesce(F.col("before"), F.lit(0))))
