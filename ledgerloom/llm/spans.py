@@ -9,6 +9,8 @@
 3. Streaming: each record is run through the automaton, which locates every occurrence of every passage. A span of
    LEAST characters round a passage reaches REACH characters beyond it to the left or to the right, so occurrences
    meet by the hash of the passage with that much text on either side.
+   What occurs again and again within one record (rules, repeated tables) would meet at every pair of places; there the
+   windows of LEAST characters themselves are hashed, and only the first place of each stands for it.
 4. Each pair of records that met is held side by side at the offset found, and its common runs are measured.
 
 Equal texts are one class from the start (by a 64-bit hash): grams, occurrences and comparisons are made once per class,
@@ -125,32 +127,58 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def occurrences_in(text: str, automaton: ahocorasick.Automaton) -> Iterator[tuple[int, int, bool, bool]]:
+    """(hash, position, lead, window) of what a text meets others by.
+
+    A passage with its surroundings is a lead if it occurs once. The places of one that occurs more often are no leads;
+    beside them stand the windows round them, each a lead at its first place. Two places meet if one is a lead.
+    """
+    around: dict[int, list[int]] = {}
+    for last, _ in automaton.iter(text):
+        start, end = last + 1 - GRAM, last + 1
+        if start >= REACH:
+            around.setdefault(_hash("<" + text[start - REACH : end]), []).append(start)
+        if end + REACH <= len(text):
+            around.setdefault(_hash(">" + text[start : end + REACH]), []).append(start)
+    repeated: set[int] = set()
+    for h, starts in around.items():
+        for start in starts:
+            yield h, start, len(starts) == 1, False
+        if len(starts) > 1:
+            repeated.update(starts)
+    done, seen = -1, set()
+    for start in sorted(repeated):
+        for w in range(max(done + 1, start + GRAM - LEAST, 0), min(start, len(text) - LEAST) + 1):
+            h = _hash("=" + text[w : w + LEAST])
+            yield h, w, h not in seen, True
+            seen.add(h)
+            done = w
+
+
+OCCURRENCE = "around long, cid long, pos int, lead boolean, window boolean"
+
+
 def occurrences(routed: DataFrame) -> DataFrame:
-    """(around, cid, pos): where passages occur, with the hash of the passage and REACH characters on one side."""
+    """(around, cid, pos, lead, window): occurrences_in of every routed text, with its shard's automaton."""
 
     def stream(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, automaton = None, None
         for batch in it:
-            out: tuple[list, list, list] = ([], [], [])
+            rows = []
             for rep, cid, text, passages in zip(*(c.to_pylist() for c in batch.columns)):
                 if automaton is None or rep != shard:
                     shard, automaton = rep, ahocorasick.Automaton()
                     for p in passages:
                         automaton.add_word(p, 1)
                     automaton.make_automaton()
-                for last, _ in automaton.iter(text):
-                    start, end = last + 1 - GRAM, last + 1
-                    sides = []
-                    if start >= REACH:
-                        sides.append(_hash("<" + text[start - REACH : end]))
-                    if end + REACH <= len(text):
-                        sides.append(_hash(">" + text[start : end + REACH]))
-                    for h in sides:
-                        for column, v in zip(out, (h, cid, start)):
-                            column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32()))], names=["around", "cid", "pos"])
+                rows += [(h, cid, at, lead, window) for h, at, lead, window in occurrences_in(text, automaton)]
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names=["around", "cid", "pos", "lead", "window"]
+            )
 
-    return routed.mapInArrow(stream, "around long, cid long, pos int").distinct()
+    # several shards may find one place; it is a lead if it was one for any of them
+    return routed.mapInArrow(stream, OCCURRENCE).groupBy("around", "cid", "pos").agg(F.bool_or("lead").alias("lead"), F.bool_or("window").alias("window"))
 
 
 def common_runs(a: np.ndarray, b: np.ndarray, offset: int, least: int = LEAST) -> list[tuple[int, int]]:
@@ -164,8 +192,10 @@ def common_runs(a: np.ndarray, b: np.ndarray, offset: int, least: int = LEAST) -
     return [(int(s) + lo, int(e - s)) for s, e in zip(begin, end) if e - s >= least]
 
 
-def class_spans(own: DataFrame) -> DataFrame:
-    """(cid_a, cid_b, start_a, start_b, n_chars): every maximal span of LEAST characters or more that two classes share.
+def class_spans(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cid_a, cid_b, start_a, start_b, n_chars): the spans of LEAST characters or more that two classes share; and
+    (around, cid, pos, lo, hi): the places of windows that occur more than once in their own text, with the least and greatest
+    accession of all texts that hold the window.
 
     Classes that stand under one and the same accession only are left out.
     """
@@ -187,8 +217,11 @@ def class_spans(own: DataFrame) -> DataFrame:
     )
     routed = routes.join(touched, "cid").join(shards, "rep").select("rep", "cid", "text", "passages")
     found = written(occurrences(routed), "span-occurrences")
+    leading = found.filter("lead or not window").select("around", "cid", "pos", "lead")
     met = (
-        found.toDF("around", "cid_a", "pos_a").join(found.toDF("around", "cid_b", "pos_b"), "around").filter("cid_a < cid_b")
+        leading.toDF("around", "cid_a", "pos_a", "lead_a")
+        .join(leading.toDF("around", "cid_b", "pos_b", "lead_b"), "around")
+        .filter("cid_a < cid_b and (lead_a or lead_b)")
         .select("cid_a", "cid_b", (F.col("pos_a") - F.col("pos_b")).alias("offset"))
         .distinct()
         .join(bounds.toDF("cid_a", "lo_a", "hi_a"), "cid_a").join(bounds.toDF("cid_b", "lo_b", "hi_b"), "cid_b")
@@ -207,14 +240,17 @@ def class_spans(own: DataFrame) -> DataFrame:
             )
 
     schema = "cid_a long, cid_b long, start_a int, start_b int, n_chars int"
-    return sided.select("cid_a", "cid_b", "offset", "text_a", "text_b").mapInArrow(measure, schema)
+    spans = sided.select("cid_a", "cid_b", "offset", "text_a", "text_b").mapInArrow(measure, schema)
+    windows = found.filter("window").select("around", "cid", "pos").join(bounds, "cid")
+    held = windows.groupBy("around").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi")
+    return spans, windows.select("around", "cid", "pos").join(held, "around")
 
 
 def shared_pairs(sections: DataFrame) -> DataFrame:
     """(section_a, section_b), section_a < section_b: the pairs of sections of two accessions that share a span."""
     own = _own(sections)
     members = own.select("cid", "acc", "section_id").distinct()
-    linked = class_spans(own).select("cid_a", "cid_b").distinct()
+    linked = class_spans(own)[0].select("cid_a", "cid_b").distinct()
     copied = members.groupBy("cid").agg(F.min("acc").alias("lo"), F.max("acc").alias("hi")).filter("lo <> hi").select(F.col("cid").alias("cid_a"), F.col("cid").alias("cid_b"))
     both = linked.unionByName(copied)
     wide = both.join(members.toDF("cid_a", "acc_a", "x"), "cid_a").join(members.toDF("cid_b", "acc_b", "y"), "cid_b").filter("acc_a <> acc_b and x <> y")
@@ -230,12 +266,14 @@ def shared_amounts(sections: DataFrame) -> DataFrame:
     own = _own(sections)
     members = own.select("cid", "acc", "section_id", F.length("text").alias("n")).distinct()
     bounds = members.groupBy("cid").agg(F.min("acc").alias("lo"), F.max("acc").alias("hi"))
-    spans = written(class_spans(own), "span-shares")
+    spans, windows = class_spans(own)
+    spans = written(spans, "span-shares")
     sides = spans.selectExpr("cid_a AS cid", "cid_b AS other", "start_a AS start", "n_chars AS n").unionAll(spans.selectExpr("cid_b", "cid_a", "start_b", "n_chars"))
     sides = sides.join(bounds.toDF("other", "lo", "hi"), "other").distinct()
     places = sides.join(members.select("cid", "acc", "section_id"), "cid").filter("NOT (lo = acc AND hi = acc)").select("section_id", "start", "n")
     whole = members.join(bounds.filter("lo <> hi").select("cid"), "cid", "left_semi").select("section_id", F.lit(0).alias("start"), "n")
-    places = places.unionByName(whole).distinct()
+    again = windows.join(members.select("cid", "acc", "section_id"), "cid").filter("NOT (lo = acc AND hi = acc)").selectExpr("section_id", "pos AS start", f"{LEAST} AS n")
+    places = places.unionByName(whole).unionByName(again).distinct()
     # the covered length is the sum of what each span adds beyond the furthest end before it
     before = F.expr("max(start + n) over (partition by section_id order by start, n rows between unbounded preceding and 1 preceding)")
     added = F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest(F.col("start"), F.coalesce(F.col("before"), F.lit(0))))
