@@ -15,8 +15,8 @@ from ledgerloom import schemas
 ROW_CAP = 50
 OBSERVATION = 4000
 
-_COMMENT = re.compile(r"--[^\n]*|/\*.*?\*/", re.S)
-_STRING = re.compile(r"'(?:[^'\\]|\\.|'')*'")
+_STRING = re.compile(r"'(?:[^'\\]|\\.|'')*'", re.S)
+_STRING_OR_COMMENT = re.compile(rf"({_STRING.pattern})|--[^\n]*|/\*.*?\*/", re.S)
 #: What reaches beyond reading tables: statements, files and paths, and calls into the virtual machine.
 _FORBIDDEN = (
     "insert", "update", "delete", "merge", "drop", "create", "alter", "truncate", "attach", "detach", "copy", "export", "import", "install", "load", "pragma", "call",
@@ -31,7 +31,7 @@ class Rejected(ValueError):
 
 def guard(sql: str) -> str:
     """The query without comments and a last semicolon, with a limit if it has none; Rejected if it may not run."""
-    text = _COMMENT.sub(" ", sql).strip().rstrip(";").strip()
+    text = _STRING_OR_COMMENT.sub(lambda m: m.group(1) or " ", sql).strip().rstrip(";").strip()
     if not text:
         raise Rejected("the query is empty")
     bare = _STRING.sub("''", text).lower()

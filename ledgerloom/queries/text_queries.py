@@ -190,14 +190,14 @@ j AS (SELECT s.*, f.cik, f.form, f.filing_date, f.report_date, f.items, c.ticker
 
 
 def _fit(expr: str, tokens: int) -> str:
-    """The same cut, written with positions found in the reversed text."""
+    """The same cut, by the text after the last mark."""
     most = int(max(tokens - 1200, 500) * 3.6)
     head = f"left({expr}, {most})"
 
     def last(mark: str, n: int) -> str:
-        m = {"p": "chr(10) || chr(10)", "s": "' .'", "l": "chr(10)"}[mark]
-        at = f"strpos(reverse({head}), {m})"
-        return f"CASE WHEN {at} > 0 AND length({head}) - {at} + 1 - {n} > {0.75 * most} THEN length({head}) - {at} + 1 - {n} + {1 if mark == 's' else 0} END"
+        m = {"p": "chr(10) || chr(10)", "s": "'. '", "l": "chr(10)"}[mark]
+        at = f"length({head}) - length(list_extract(string_split({head}, {m}), -1)) - {n}"
+        return f"CASE WHEN {at} > {0.75 * most} THEN {at} + {1 if mark == 's' else 0} END"
 
     cut = f"coalesce({last('p', 2)}, {last('s', 2)}, {last('l', 1)}, length({head}))"
     return f"CASE WHEN length({expr}) > {most} THEN left({expr}, {cut}) || chr(10) || chr(10) || '[truncated]' ELSE {expr} END"

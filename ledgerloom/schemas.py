@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_KINDS = {"s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(), "d": T.DoubleType(), "b": T.BooleanType(), "D": T.DateType(), "t": T.TimestampType(), "v": T.ArrayType(T.FloatType(), False)}
+_KINDS = {"s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(), "d": T.DoubleType(), "b": T.BooleanType(), "D": T.DateType(), "t": T.TimestampType(), "v": T.ArrayType(T.FloatType())}
 
 
 def _schema(text: str) -> T.StructType:
