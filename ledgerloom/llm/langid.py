@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.grams import slices
 
 VOCABULARY = "piece_bpe_32k.model"
-FIT_ROWS = 3000
+FIT_ROWS = 2000
 MIN_CHARS = 150
 #: Nats that a change of language costs, and the most that one word may speak against a language.
 SWITCH = 7.0
@@ -161,17 +161,17 @@ class Model:
             for n in range(1, min(rows.shape[1] - 1 - begin, MAX_PIECE) + 1):
                 beta[:, begin] += beta[:, begin + n] * self.probability[rows[:, begin + n, n]]
         weight = counts / np.maximum(alpha[:, -1], 1e-300)
-        out = np.zeros_like(self.probability)
+        size, k = self.probability.shape
+        at, parts = [], []
         for end in range(1, rows.shape[1]):
             for n in range(1, min(end, MAX_PIECE) + 1):
                 r = rows[:, end, n]
                 used = np.flatnonzero(r != self.never)
-                if len(used):
-                    r = r[used]
-                    part = alpha[used, end - n] * self.probability[r] * beta[used, end] * weight[used]
-                    for k in range(out.shape[1]):
-                        out[:, k] += np.bincount(r, part[:, k], len(out))
-        return out
+                r = r[used]
+                at.append(r)
+                parts.append(alpha[used, end - n] * self.probability[r] * beta[used, end] * weight[used])
+        flat = np.concatenate(at)[:, None] * k + np.arange(k)
+        return np.bincount(flat.ravel(), np.concatenate(parts).ravel(), size * k).reshape(size, k)
 
     def look_up(self, words: list[str]) -> np.ndarray:
         """Row numbers in scores of the words; new ones are scored together."""
@@ -237,7 +237,8 @@ def fit(sample: list[tuple[str, str | None]], pieces: list[str], rounds: int = 2
     start[: len(pieces)] = 1e-4 * np.array([len(p) for p in pieces], float)[:, None]
     start[-1] = 0
     model = Model(pieces, start / start.sum(axis=0))
-    said = [(words, _INDEX.get(label_language(label), -1)) for text, label in sample if text for _, _, words in units(text) if words]
+    known = {label: _INDEX.get(label_language(label), -1) for label in {label for _, label in sample}}
+    said = [(words, known[label]) for text, label in sample if text for _, _, words in units(text) if words]
     anchors = [(words.split(), _INDEX[lang]) for lang, words in ANCHORS.items() for _ in range(20)]
     lattices: dict[str, tuple[list[str], np.ndarray]] = {}
     for turn in range(rounds):
