@@ -101,6 +101,17 @@ class Router:
         return {"calls": self.calls, "hits": self.hits, "hit_rate": round(self.hits / self.calls, 3) if self.calls else 0.0, "spent_usd": round(self.spent_usd, 6)}
 
 
+def resolve_chain(known: dict[str, Model], chains: dict[str, list[str]], asked: str | None = None, env: dict[str, str] | None = None, variable: str = "LEDGERLOOM_CHAIN", default: str = "default") -> list[Model]:
+    """The models to try: of the chain (or the one model) asked for, else named by the environment, else the default chain."""
+    import os
+
+    name = asked or (os.environ if env is None else env).get(variable) or default
+    names = chains.get(name) or ([name] if name in known else None)
+    if names is None:
+        raise KeyError(f"neither a chain nor a model: {name}")
+    return [known[n] for n in names]
+
+
 def heuristic(prompt: str, vocabularies: dict[str, tuple[str, ...]]) -> str:
     """A deterministic answer by word counts, for offline use: the leaning picks the first, middle or last of each vocabulary
     (listed from good to bad)."""

@@ -21,7 +21,7 @@ def main(args: list[str] | None = None) -> int:
         sub.add_parser(name)
     for name, positional, options in (
         ("ingest", ["folder"], []), ("index", [], [("--model", "hash-64")]), ("search", ["query"], [("--mode", "hybrid"), ("--k", "8")]), ("sql", ["text"], []),
-        ("signals", [], [("--ticker", None), ("--limit", "50")]), ("composite", ["ticker"], []), ("alerts", [], [("--severity", None)]), ("query", ["name", "root"], []), ("python", ["code"], []),
+        ("signals", [], [("--ticker", None), ("--limit", "50")]), ("composite", ["ticker"], []), ("alerts", [], [("--severity", None)]), ("query", ["name", "root"], []), ("python", ["code"], []), ("serve", [], [("--port", "8000")]),
     ):
         s = sub.add_parser(name)
         for x in positional:
@@ -60,6 +60,10 @@ def main(args: list[str] | None = None) -> int:
         sections = ingest.sections_of(parsed)
         w.ingest_filing_rows(raw.select("accession", "cik", "form", "filing_date"), sections, ingest.chunks_of(sections, raw))
         ingest.report(parsed, sections, w.table("chunks")).show()
+    elif a.command == "serve":
+        from ledgerloom.api import serve
+
+        serve(service, int(a.port)).serve_forever()
     elif a.command == "index":
         from ledgerloom.operators import retrieval
 

@@ -131,3 +131,28 @@ def recommended(summaries: DataFrame, limits: dict[str, tuple[str, float]], orde
 
 def failing(outcomes: DataFrame, most: int = 8) -> DataFrame:
     return outcomes.filter(~F.col("correct")).orderBy("case_id").limit(most)
+
+
+def run(cases: DataFrame, prompt: Column, models: dict, check) -> DataFrame:
+    """Outcomes of every case under every model: extraction, grounding in the case's own texts, and grading.
+
+    models: name -> complete(prompt, complaint). Payload fields become the actual label; evidence is grounded in the
+    case's variables.
+    """
+    from ledgerloom.functions import documents
+    from ledgerloom.operators import extraction
+
+    units = cases.select(F.col("case_id").alias("unit_id"), prompt.alias("prompt"))
+    out = None
+    for name, complete in models.items():
+        got = extraction.extract(units, complete, check).withColumnRenamed("unit_id", "case_id").withColumn("model", F.lit(name))
+        out = got if out is None else out.unionByName(got)
+    actual = F.when(F.col("valid"), F.from_json("payload", "map<string,string>"))
+    quotes = F.coalesce(F.from_json(F.get_json_object("payload", "$.evidence"), "array<string>"), F.array().cast("array<string>"))
+    source = F.array_join(F.map_values("variables"), "\n")
+    rows = out.join(cases.select("case_id", "variables"), "case_id").withColumn("g", documents.columns()["ground_quotes"](quotes, source))
+    predictions = rows.select(
+        "case_id", "model", actual.alias("actual"), F.get_json_object("payload", "$.confidence").try_cast("double").alias("confidence"), "valid", "repair_attempts",
+        F.when(F.col("valid"), F.col("g.ratio")).alias("grounded_ratio"), (F.col("valid") & (F.col("g.ratio") < 1)).alias("hallucinated"), F.lit(0.0).alias("latency_ms"), F.lit(0.0).alias("cost_usd"),
+    )
+    return graded(cases, predictions)

@@ -58,7 +58,8 @@ def filings_of(documents: DataFrame, base: str, forms: tuple[str, ...] = ("10-K"
     """
     r = F.col("filings.recent")
     n = F.least(*[F.size(r[c]) for c in ("accessionNumber", "form", "filingDate", "primaryDocument")])
-    rows = documents.select(F.lpad("cik", 10, "0").alias("cik"), F.posexplode(F.arrays_zip(*[r[c].alias(c) for c in _RECENT])).alias("pos", "f"), n.alias("n"))
+    present = [F.coalesce(r[c], F.array().cast("array<bigint>" if c == "size" else "array<string>")).alias(c) for c in _RECENT]
+    rows = documents.select(F.lpad("cik", 10, "0").alias("cik"), F.posexplode(F.arrays_zip(*present)).alias("pos", "f"), n.alias("n"))
     rows = rows.filter(F.col("pos") < F.col("n")).select("cik", "pos", *[F.col("f")[c].alias(c) for c in _RECENT])
     rows = rows.withColumn("filing_date", scalars.iso_date(F.col("filingDate"))).filter(
         F.col("form").isin(*forms) & (F.length("primaryDocument") > 0) & F.col("filing_date").isNotNull() & F.col("accessionNumber").isNotNull()
@@ -79,7 +80,7 @@ def filings_of(documents: DataFrame, base: str, forms: tuple[str, ...] = ("10-K"
 def raw_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, html): files as UTF-8, broken bytes replaced."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.decode("content", "UTF-8").alias("html"))
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
 
 
 def with_documents(filings: DataFrame, documents: DataFrame, key: str = "accession") -> tuple[DataFrame, DataFrame]:
