@@ -211,19 +211,25 @@ def similar(pairs: DataFrame, representatives: DataFrame, sections: DataFrame, s
     return both.select("rep_a", "rep_b", "text_a", "text_b").mapInArrow(checked, "rep_a string, rep_b string")
 
 
-def near_duplicates(sections: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(section_a, section_b), section_a < section_b: every pair of sections of one slug found to be near-duplicates."""
-    members = written(signed_sections(sections), "near-duplicate-signatures")
-    representatives = members.groupBy("slug", "lo", "hi").agg(
-        F.min("section_id").alias("rep"), F.max("section_id").alias("other"), F.min("signature").alias("signature")
-    )
+def linked_classes(sections: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(section_id, rep) of every long enough section, and (rep_a, rep_b), the linked pairs of representatives.
+
+    A representative stands for the sections of one slug with equal shingle sets; it is the least of their ids.
+    """
+    signed = written(signed_sections(sections), "near-duplicate-signatures")
+    representatives = signed.groupBy("slug", "lo", "hi").agg(F.min("section_id").alias("rep"), F.min("signature").alias("signature"))
     representatives = written(representatives, "near-duplicate-classes")
     pairs = written(near(met(keyed(representatives)), representatives), "near-duplicate-candidates")
     linked = similar(pairs, representatives, sections, similarity)
+    members = signed.select("section_id", "slug", "lo", "hi").distinct().join(representatives.select("slug", "lo", "hi", "rep"), ["slug", "lo", "hi"]).select("section_id", "rep")
+    return members, linked
+
 
+def near_duplicates(sections: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(section_a, section_b), section_a < section_b: every pair of sections of one slug found to be near-duplicates."""
+    members, linked = linked_classes(sections, similarity)
     # classes of more than one member are expanded; all others stand for themselves
-    copies = representatives.filter("rep <> other").select("slug", "lo", "hi", "rep")
-    within = members.select("section_id", "slug", "lo", "hi").distinct().join(copies, ["slug", "lo", "hi"]).select("rep", "section_id")
+    within = members.join(members.filter("section_id <> rep").select("rep").distinct(), "rep", "left_semi").select("rep", "section_id")
     same = within.toDF("rep", "x").join(within.toDF("rep", "y"), "rep").filter("x < y").select("x", "y")
     wide = linked
     for side, out in (("rep_a", "x"), ("rep_b", "y")):
@@ -233,3 +239,41 @@ def near_duplicates(sections: DataFrame, similarity: float = SIMILARITY) -> Data
         .select(F.least("x", "y").alias("section_a"), F.greatest("x", "y").alias("section_b"))
         .distinct()
     )
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of the edges (a, b): the least node that it is connected with.
+
+    Each round hangs every node's greater neighbours, then the node itself, under the least neighbour (large and small
+    stars), so that the number of rounds grows with the logarithm of the longest path. Least neighbours are found by a
+    combined aggregate and joined back, so a node with many neighbours gathers no list. Rounds are cut by written tables; the
+    driver learns only whether something moved.
+    """
+    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "components")
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        hung = large.join(least, "u")
+        small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+        after = written(small.distinct(), "components")
+        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
+            break
+        now = after
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+
+
+def groups(sections: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(section_id, group_id, n_links) of every long enough section.
+
+    group_id is the least section id among those connected by near-duplicates, the section's own where it has none;
+    n_links counts the representatives of other texts that the section's text is linked with.
+    """
+    members, linked = linked_classes(sections, similarity)
+    linked = written(linked.distinct(), "near-duplicate-links")
+    roots = components(linked.toDF("a", "b")).toDF("rep", "root")
+    links = linked.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    rows = members.join(roots, "rep", "left").join(links, "rep", "left")
+    return rows.select("section_id", F.coalesce("root", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

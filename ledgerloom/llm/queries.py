@@ -21,6 +21,10 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, root, "sections"))
 
 
+def p2_groups(spark: SparkSession, root: str) -> DataFrame:
+    return neardup.groups(table(spark, root, "sections"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return sitelines.recurring_line_places(table(spark, root, "sections"), table(spark, root, "filings"))
 
@@ -89,7 +93,7 @@ WITH sites AS (
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_statistics, p2_found, p3_found, p3_cleaned, p4_found, p4_shares, p5_found, p5_pieces, p7_ids, p8_found, p8_runs, p9_found, p9_segments)
+    for f in (p1_found, p1_statistics, p2_found, p2_groups, p3_found, p3_cleaned, p4_found, p4_shares, p5_found, p5_pieces, p7_ids, p8_found, p8_runs, p9_found, p9_segments)
 }
 SQL = {
     "p2_found": r"""

@@ -59,6 +59,39 @@ def test_all_pairs(spark):
     assert neardup.near_duplicates(df.limit(0)).collect() == []
 
 
+def union_find(nodes, edges):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {n: find(n) for n in nodes}
+
+
+def test_groups(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "section_id string, slug string, text string")
+    got = [tuple(r) for r in neardup.groups(df).collect()]
+    long = {k for k, _, t in rows if k is not None and len(WORD.findall(t or "")) >= 100}
+    assert {g[0]: g[1] for g in got} == union_find(long, brute(rows)) and len(got) == len(long)
+    links = {g[0]: g[2] for g in got}
+    assert links["copy1"] == 0 and links["s000x"] == links["s000"]
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    edges = [(f"p{n:03}", f"p{n + 1:03}") for n in range(60)] + [("hub", f"x{n}") for n in range(40)] + [tuple(sorted(rng.sample([f"r{n}" for n in range(80)], 2))) for _ in range(50)] + [("q", "q"), ("x1", "hub")]
+    df = spark.createDataFrame(edges, "a string, b string")
+    nodes = {n for e in edges if e[0] != e[1] for n in e}
+    assert {r.node: r.root for r in neardup.components(df).collect()} == union_find(nodes, [e for e in edges if e[0] != e[1]])
+    assert neardup.components(df.limit(0)).collect() == []
+
+
 def test_guarantee_of_the_index():
     """Signatures with GUARANTEE differing slots or fewer share a key, wherever they differ."""
     rng = np.random.default_rng(3)
