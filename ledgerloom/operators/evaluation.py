@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import round_half_away
+from ledgerloom.operators.quantiles import exact_quantiles, null_safe
 
 
 def graded(cases: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -34,14 +35,15 @@ def _share(of: Column) -> Column:
 def summary(outcomes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """One row (per group) of counts, rates, latencies and cost. Rates over valid cases are null where none is valid."""
     valid = F.col("valid")
-    return outcomes.groupBy(*by).agg(
+    latency = exact_quantiles(outcomes, F.when(valid, F.col("latency_ms")), {"latency_p50": 0.5, "latency_p95": 0.95}, by)
+    rows = outcomes.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(valid).alias("n_valid"), _share(F.col("correct")).alias("accuracy"), _share(F.col("direction_correct")).alias("direction_accuracy"),
         _share(~valid).alias("schema_violation_rate"), _share(F.col("repair_attempts") > 0).alias("repair_rate"), F.avg("repair_attempts").alias("mean_repairs"),
         _share(F.when(valid, F.col("hallucinated"))).alias("hallucination_rate"), F.avg(F.when(valid, F.col("grounded_ratio"))).alias("mean_grounded_ratio"),
-        F.coalesce(F.percentile(F.when(valid, F.col("latency_ms")), 0.5), F.lit(0.0)).alias("latency_p50"),
-        F.coalesce(F.percentile(F.when(valid, F.col("latency_ms")), 0.95), F.lit(0.0)).alias("latency_p95"),
         F.sum(F.col("cost_usd").cast("decimal(18,6)")).cast("double").alias("cost_usd"),
     )
+    rows = null_safe(rows, latency, by, "left") if by else rows.crossJoin(F.broadcast(latency.agg(F.max("latency_p50").alias("latency_p50"), F.max("latency_p95").alias("latency_p95"))))
+    return rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("latency_p50", "latency_p95")})
 
 
 def confusion(outcomes: DataFrame, field: str) -> DataFrame:

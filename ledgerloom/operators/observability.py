@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import round_half_away
+from ledgerloom.operators.quantiles import exact_quantiles, null_safe
 
 
 def _money(x: str) -> Column:
@@ -17,12 +18,15 @@ def cost_metrics(traces: DataFrame, now: Column, days: int = 30) -> DataFrame:
     if not 1 <= days <= 365:
         raise ValueError("days must lie between 1 and 365")
     rows = traces.filter((F.col("kind") == "llm") & (F.col("started_at") > now - F.make_dt_interval(F.lit(days))))
-    per = rows.groupBy("model", "provider").agg(
+    by = ("model", "provider")
+    p95 = exact_quantiles(rows, F.col("duration_ms"), {"p95_ms": 0.95}, by)
+    per = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("calls"), F.count_if(F.coalesce("cached", F.lit(False))).alias("cached"), F.sum("tokens_in").alias("tokens_in"),
         F.sum("tokens_out").alias("tokens_out"), round_half_away(_money("cost_usd"), 6).alias("cost_usd"),
         round_half_away(F.sum(F.col("duration_ms").cast("decimal(20,6)")).cast("double") / F.count("duration_ms"), 1).alias("avg_ms"),
-        round_half_away(F.percentile("duration_ms", 0.95), 4).alias("p95_ms"), F.count_if(F.col("status") == "error").alias("errors"),
+        F.count_if(F.col("status") == "error").alias("errors"),
     )
+    per = null_safe(per, p95, by, "left").withColumn("p95_ms", round_half_away(F.col("p95_ms"), 4))
     return per.orderBy(F.col("cost_usd").desc_nulls_last(), "model", "provider")
 
 

@@ -29,7 +29,7 @@ class Service:
 
     def company_composite(self, ticker: str) -> DataFrame:
         own = self.warehouse.table("companies").filter(F.upper("ticker") == ticker.upper()).select("cik")
-        return signals.composite(self.warehouse.table("signals").join(F.broadcast(own.limit(100)), "cik", "left_semi"), self.weights)
+        return signals.composite(self.warehouse.table("signals").join(own, "cik", "left_semi"), self.weights)
 
     def list_alerts(self, severity: str | None = None, limit: int = 50) -> DataFrame:
         """Alerts with their signal and company, gravest first."""
