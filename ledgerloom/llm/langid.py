@@ -5,7 +5,7 @@ sum, over all ways to cut the word into pieces, of the product of the pieces' pr
 word gives it. A text's is the product over its words, so words are scored once and looked up after that.
 
 The pieces' probabilities are fitted on the driver by expectation maximisation, on a sample of labelled documents of
-about FIT_ROWS rows (chosen by a hash of the key; the only bounded step). Labels may be wrong: after a first fit the
+about FIT_ROWS rows and up to FIT_CHARS characters each (chosen by a hash of the key; the only bounded step). Labels may be wrong: after a first fit the
 sample's sentences are assigned to the language that fits them best, and the fit is repeated. A few function words of
 each language anchor the fit where the sample lacks one.
 
@@ -34,6 +34,8 @@ from ledgerloom.llm.grams import slices
 
 VOCABULARY = "piece_bpe_32k.model"
 FIT_ROWS = 2000
+#: Characters of each sampled row that the fit reads; scoring reads all.
+FIT_CHARS = 20_000
 MIN_CHARS = 150
 #: Nats that a change of language costs, and the most that one word may speak against a language.
 SWITCH = 7.0
@@ -328,7 +330,7 @@ def fitted(documents: DataFrame, vocabulary: str | None = None, fit_rows: int =
     n = documents.count()
     share = min(1.0, fit_rows / max(1, n))
     some = documents.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    rows = some.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("text", "lang").limit(2 * fit_rows).collect()
+    rows = some.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select(F.substring("text", 1, FIT_CHARS).alias("text"), "lang").limit(2 * fit_rows).collect()
     return fit([(r.text, r.lang) for r in rows], read_pieces(vocabulary))
 
 

@@ -39,6 +39,8 @@ BITS = 16
 GUARANTEE = 2 * CHUNKS - 1
 #: A run of equal keys is paired against itself in blocks of so many.
 BLOCK = 1024
+#: Shingles of one text are permuted in parts of so many, so that long texts need no more memory.
+PART = 8192
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _MULT = _RNG.integers(0, 1 << 32, SLOTS, dtype=np.uint32) | np.uint32(1)
@@ -55,7 +57,9 @@ def shingles(words: np.ndarray) -> np.ndarray:
 def signature(shingle_set: np.ndarray) -> np.ndarray:
     """SLOTS slots of BITS bits."""
     h = (shingle_set >> np.uint64(32)).astype(np.uint32)
-    least = np.min((h[None, :] ^ _XOR[:, None]) * _MULT[:, None], axis=1)
+    least = np.full(SLOTS, 0xFFFFFFFF, np.uint32)
+    for b in range(0, len(h), PART):
+        np.minimum(least, np.min((h[None, b : b + PART] ^ _XOR[:, None]) * _MULT[:, None], axis=1), out=least)
     return ((least * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.uint16)
 
 

@@ -45,15 +45,15 @@ class BoundaryIndex:
         self.starts = np.array([g[1] for g in gaps], np.int64)  # and the next may start here
         strength = np.array([g[2] for g in gaps], np.int64)
         self.levels = [(strength << 40) | np.arange(len(gaps))]
-        while 2 << (len(self.levels) - 1) <= len(gaps):
-            low, step = self.levels[-1], 1 << (len(self.levels) - 1)
-            self.levels.append(np.maximum(low[:-step], low[step:]))
 
     def strongest(self, lo: int, hi: int) -> int | None:
         """The number of the strongest gap among lo..hi-1, rightmost of equals."""
         if lo >= hi:
             return None
         j = (hi - lo).bit_length() - 1
+        while len(self.levels) <= j:  # levels are built as far as windows reach
+            low, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.maximum(low[:-step], low[step:]))
         best = max(int(self.levels[j][lo]), int(self.levels[j][hi - (1 << j)]))
         return best & ((1 << 40) - 1)
 
