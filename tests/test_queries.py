@@ -1,9 +1,9 @@
 import os
-import re
 
 import pytest
 
 from ledgerloom import queries
+from ledgerloom.plans import shape
 
 ROOT = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(ROOT), reason="needs the test tables")
@@ -33,20 +33,25 @@ def test_equals_sql(spark, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == want
 
 
-def plan(spark, name):
-    return queries.queries()[name](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
+def query(spark, name):
+    return queries.queries()[name](spark, ROOT)
 
 
 @here
-@pytest.mark.parametrize("name", ["signals_scored", "alerts_rules", "companies_overview", "keyword_search", "vector_search", "cost_metrics", "risk_delta_pairs", "eval_summary", "p6_found"])
+@pytest.mark.parametrize("name", ["signals_scored", "alerts_rules", "companies_overview", "keyword_search", "vector_search", "cost_metrics", "risk_delta_pairs", "p6_found", "replace_children", "upsert_merge"])
 def test_stays_in_the_jvm(spark, name):
-    p = plan(spark, name)
-    assert "Python" not in p and "MapInArrow" not in p and "CartesianProduct" not in p
+    df = query(spark, name)
+    assert shape.stays_in_jvm(df) and not shape.pairs_all(df)
 
 
 @here
 def test_top_k_and_pruning(spark):
     for name in ("keyword_search", "vector_search", "companies_overview"):
-        assert "TakeOrderedAndProject" in plan(spark, name)
-    (scan,) = re.findall(r"ReadSchema: (struct<[^\n]*>)", plan(spark, "p5_found") if "p5_found" in queries.queries() else plan(spark, "slug_counts"))[:1]
-    assert "text" not in scan and "slug" in scan
+        assert shape.nodes(query(spark, name))["TakeOrderedAndProject"] == 1
+    assert shape.read_columns(query(spark, "slug_counts")) == [{"slug"}]
+    assert all("text" not in c for c in shape.read_columns(query(spark, "p6_found")))
+
+
+@here
+def test_shapes_are_told_apart(spark):
+    assert not shape.stays_in_jvm(query(spark, "html_text")) and shape.pairs_all(spark.range(3).crossJoin(spark.range(4).withColumnRenamed("id", "x")))
