@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import keys
+from ledgerloom.plans.cut import written
 
 MIN_LETTERS = 20
 MIN_FILINGS = 5
@@ -29,19 +30,18 @@ def letters(line: Column) -> Column:
     return F.regexp_replace(F.lower(line), r"[^\p{L}]+", "")
 
 
-def site_sections(sections: DataFrame, filings: DataFrame) -> DataFrame:
-    """(section_id, text, acc, cik): the sections that belong to a site."""
-    sites = filings.select(keys.accession_number(F.col("accession")).alias("acc"), keys.cik_number(F.col("cik")).alias("cik"))
-    sites = sites.filter(F.col("acc").isNotNull() & F.col("cik").isNotNull()).distinct()
-    own = sections.select("section_id", "text", keys.accession_number(F.col("accession")).alias("acc"))
-    return own.filter(F.col("acc").isNotNull()).join(sites, "acc")
+def sites(filings: DataFrame) -> DataFrame:
+    """(acc, cik): the site of each filing."""
+    rows = filings.select(keys.accession_number(F.col("accession")).alias("acc"), keys.cik_number(F.col("cik")).alias("cik"))
+    return rows.filter(F.col("acc").isNotNull() & F.col("cik").isNotNull()).distinct()
 
 
-def site_lines(sited: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
-    """(cik, acc, section_id, line_no, line): one row per line that is long enough, line being a hash of its letters."""
-    lines = sited.select("cik", "acc", "section_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+def hashed_lines(sections: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
+    """(acc, section_id, line_no, line): one row per line that is long enough, line being a hash of its letters."""
+    own = sections.select("section_id", "text", keys.accession_number(F.col("accession")).alias("acc")).filter(F.col("acc").isNotNull())
+    lines = own.select("acc", "section_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     said = lines.filter(F.length("raw") >= min_letters).withColumn("letters", letters(F.col("raw")))
-    return said.filter(F.length("letters") >= min_letters).select("cik", "acc", "section_id", "line_no", F.xxhash64("letters").alias("line"))
+    return said.filter(F.length("letters") >= min_letters).select("acc", "section_id", "line_no", F.xxhash64("letters").alias("line"))
 
 
 def _word() -> Column:
@@ -52,20 +52,24 @@ def _bits() -> Column:
     return F.bit_or(F.expr("shiftleft(1L, cast(acc & 63 as int))"))
 
 
-def recurring(sited: DataFrame, min_filings: int = MIN_FILINGS, min_share: float = MIN_SHARE, min_letters: int = MIN_LETTERS) -> DataFrame:
-    """(cik, line, n_filings, n_site): the lines of each site that stand in enough of its filings."""
-    words = site_lines(sited, min_letters).groupBy("cik", "line", _word().alias("word")).agg(_bits().alias("bits"))
+def recurring(sections: DataFrame, filings: DataFrame, min_filings: int = MIN_FILINGS, min_share: float = MIN_SHARE, min_letters: int = MIN_LETTERS) -> DataFrame:
+    """(cik, line, n_filings, n_site): the lines of each site that stand in enough of its filings.
+
+    Hashes of lines are joined to their sites, not texts.
+    """
+    own = sites(filings)
+    words = hashed_lines(sections, min_letters).select("acc", "line").join(own, "acc").groupBy("cik", "line", _word().alias("word")).agg(_bits().alias("bits"))
     counts = words.groupBy("cik", "line").agg(F.sum(F.bit_count("bits")).alias("n_filings")).filter(F.col("n_filings") >= min_filings)
-    own = sited.groupBy("cik", _word().alias("word")).agg(_bits().alias("bits"))
-    totals = own.groupBy("cik").agg(F.sum(F.bit_count("bits")).alias("n_site"))
+    held = sections.select(keys.accession_number(F.col("accession")).alias("acc")).distinct().join(own, "acc").groupBy("cik", _word().alias("word")).agg(_bits().alias("bits"))
+    totals = held.groupBy("cik").agg(F.sum(F.bit_count("bits")).alias("n_site"))
     return counts.join(totals, "cik").filter(F.col("n_filings") >= F.lit(min_share) * F.col("n_site"))
 
 
-def recurring_line_places(sections: DataFrame, filings: DataFrame, **limits) -> DataFrame:
+def recurring_line_places(sections: DataFrame, filings: DataFrame, min_letters: int = MIN_LETTERS, **limits) -> DataFrame:
     """(section_id, line_no): every place of every recurring line, each once; line_no counts from 0."""
-    sited = site_sections(sections, filings)
-    marks = recurring(sited, **limits).select("cik", "line")
-    return site_lines(sited, limits.get("min_letters", MIN_LETTERS)).join(marks, ["cik", "line"], "left_semi").select("section_id", "line_no").distinct()
+    # written, so that its size is known: small enough it is broadcast, else all lines are shuffled to it
+    marks = written(recurring(sections, filings, min_letters=min_letters, **limits).select("cik", "line"), "site-lines")
+    return hashed_lines(sections, min_letters).join(sites(filings), "acc").join(marks, ["cik", "line"], "left_semi").select("section_id", "line_no").distinct()
 
 
 def without_recurring_lines(sections: DataFrame, filings: DataFrame, **limits) -> DataFrame:
