@@ -10,7 +10,8 @@ candidates come with a probability that falls off slowly (a pair at J = 0.6 is m
 J = 0.65 in 0.05 %). Candidates are checked exactly on the shingle sets themselves.
 
 Texts with equal shingle sets are one class from the start: only a representative gets keys, so copies meet no one.
-Keys are sorted within tasks and equal neighbours paired in blocks as they stream by.
+Keys are sorted within tasks and equal neighbours paired in blocks as they stream by; a key that very many different
+texts share is spread over tasks.
 
 Texts with fewer than MIN_WORDS words, and null or empty ones, have no partner. Repeated rows (one section_id) count
 once. A null slug is compared as the empty slug. Extra columns are ignored. Empty tables give an empty result.
@@ -39,6 +40,8 @@ BITS = 16
 GUARANTEE = 2 * CHUNKS - 1
 #: A run of equal keys is paired against itself in blocks of so many.
 BLOCK = 1024
+#: Keys that more ids share are paired in cells, over many tasks.
+CROWD = 4096
 #: Shingles of one text are permuted in parts of so many, so that long texts need no more memory.
 PART = 8192
 
@@ -134,42 +137,87 @@ def _pairs(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield x[keep], y[keep]
 
 
-def met(key_rows: DataFrame) -> DataFrame:
-    """(a, b), a < b: the distinct pairs of ids that share a key."""
+def met(key_rows: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(a, b), a < b: the distinct pairs of ids that share a key.
+
+    Equal keys are paired as the sorted keys stream by. Keys with more than `crowd` ids are passed on instead, and paired
+    in cells: their ids are hashed into parts of about that size, and every two parts meet in a task of their own.
+    """
 
     def neighbours(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held_ids = np.empty(0, np.int64), np.empty(0, np.int64)
+        held_keys, held_ids, passed = np.empty(0, np.int64), np.empty(0, np.int64), None
+
+        def on(k: np.ndarray, i: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(i), pa.array(i), pa.array(k)], names=["a", "b", "key"])
 
         def of(k: np.ndarray, i: np.ndarray) -> Iterator[pa.RecordBatch]:
             begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             size = np.diff(np.concatenate([begin, [len(k)]]))
             twos = begin[size == 2]
-            found = [(i[twos], i[twos + 1])]
+            yield _couples(i[twos], i[twos + 1])
             for b, n in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
-                for x, y in _pairs(i[b : b + n]):
-                    found.append((x, y))
-                    if len(x) > 100_000:
-                        yield out(found)
-                        found = []
-            if found:
-                yield out(found)
-
-        def out(found: list) -> pa.RecordBatch:
-            x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y], axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+                if n > crowd:
+                    yield on(k[b : b + n], i[b : b + n])
+                else:
+                    yield from (_couples(x, y) for x, y in _pairs(i[b : b + n]))
 
         for batch in it:
-            k = np.concatenate([held_keys, batch.column(0).to_numpy(zero_copy_only=False)])
-            i = np.concatenate([held_ids, batch.column(1).to_numpy(zero_copy_only=False)])
+            k, i = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            if len(k) and passed is not None:
+                n = int(np.searchsorted(k, passed, "right")) if k[0] == passed else 0
+                if n:
+                    yield on(k[:n], i[:n])
+                    k, i = k[n:], i[n:]
+                passed = passed if not len(k) else None
+            k, i = np.concatenate([held_keys, k]), np.concatenate([held_ids, i])
             last = int(np.searchsorted(k, k[-1], "left")) if len(k) else 0
             if last:
                 yield from of(k[:last], i[:last])
             held_keys, held_ids = k[last:], i[last:]
+            if len(held_keys) > crowd:
+                yield on(held_keys, held_ids)
+                passed = int(held_keys[0])
+                held_keys, held_ids = held_keys[:0], held_ids[:0]
         if len(held_keys):
             yield from of(held_keys, held_ids)
 
-    return key_rows.repartition("key").sortWithinPartitions("key").mapInArrow(neighbours, "a long, b long").distinct()
+    def cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            left, right = np.array(sides[0], np.int64), np.array(sides[1], np.int64)
+            if now is not None and now[1] == now[2]:
+                yield from (_couples(x, y) for x, y in _pairs(left))
+            else:
+                for b in range(0, len(left), BLOCK):
+                    for c in range(0, len(right), BLOCK):
+                        x, y = np.meshgrid(left[b : b + BLOCK], right[c : c + BLOCK])
+                        yield _couples(x.ravel(), y.ravel())
+
+        for batch in it:
+            for key, lo, hi, own, i in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, lo, hi) != now:
+                    yield from out()
+                    now, sides = (key, lo, hi), ([], [])
+                sides[own != lo].append(i)
+        yield from out()
+
+    schema = "a long, b long, key long"
+    runs = key_rows.repartition("key").sortWithinPartitions("key").mapInArrow(neighbours, schema)
+    runs = written(runs, "near-duplicate-runs")
+    hot = runs.filter("key is not null").selectExpr("key", "a AS id").distinct()
+    parts = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / crowd).alias("n"))
+    hot = hot.join(parts, "key").select("key", "id", "n", F.pmod(F.xxhash64("id"), "n").alias("own"))
+    hot = hot.select("key", "id", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("other"))
+    hot = hot.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id")
+    more = hot.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(cells, schema)
+    return runs.filter("key is null").select("a", "b").unionByName(more.select("a", "b")).distinct()
+
+
+def _couples(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs, the smaller id first."""
+    both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64())], names=["a", "b", "key"])
 
 
 #: Candidates whose signatures differ in more slots than this have J < 0.6 but for one pair in 100,000 at J = 0.6.

@@ -127,3 +127,17 @@ def test_winnowing_against_brute_force(values, w):
 
 def test_mixing_is_one_to_one():
     assert len(np.unique(mixed(np.arange(100_000, dtype=np.uint64)))) == 100_000
+
+
+def test_crowded_keys(spark):
+    rng = random.Random(12)
+    rows = [(k, rng.randrange(400)) for k in range(30) for _ in range(rng.choice([1, 1, 2, 3, 30, 90]))] + [(77, n) for n in range(250)]
+    want = {(a, b) for k in {k for k, _ in rows} for a, b in itertools.combinations(sorted({i for q, i in rows if q == k}), 2)}
+    df = spark.createDataFrame(rows, "key long, id long").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        for crowd in (4096, 20, 3):
+            got = [tuple(r) for r in neardup.met(df, crowd).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
