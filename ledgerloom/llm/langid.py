@@ -6,7 +6,7 @@ word gives it. A text's is the product over its words, so words are scored once
 
 The pieces' probabilities are fitted on the driver by expectation maximisation, on a sample of labelled documents of
 about FIT_ROWS rows and up to FIT_CHARS characters each (chosen by a hash of the key; the only bounded step). Labels may be wrong: after a first fit the
-sample's sentences are assigned to the language that fits them best, and the fit is repeated. A few function words of
+sample's documents are cut into stretches by it, as below, and the fit is repeated on those. A few function words of
 each language anchor the fit where the sample lacks one.
 
 Texts are cut at sentence and line ends. The best path through a document's units, with a cost for each change of
@@ -38,7 +38,7 @@ FIT_ROWS = 2000
 FIT_CHARS = 20_000
 MIN_CHARS = 150
 #: Nats that a change of language costs, and the most that one word may speak against a language.
-SWITCH = 7.0
+SWITCH = 20.0
 WORD_CAP = 6.0
 MAX_WORD = 20
 MAX_PIECE = 12
@@ -240,7 +240,8 @@ def fit(sample: list[tuple[str, str | None]], pieces: list[str], rounds: int = 2
     start[-1] = 0
     model = Model(pieces, start / start.sum(axis=0))
     known = {label: _INDEX.get(label_language(label), -1) for label in {label for _, label in sample}}
-    said = [(words, known[label]) for text, label in sample if text for _, _, words in units(text) if words]
+    documents = [(own, known[label]) for text, label in sample if text and (own := [words for _, _, words in units(text) if words])]
+    said = [(words, lang) for own, lang in documents for words in own]
     anchors = [(words.split(), _INDEX[lang]) for lang, words in ANCHORS.items() for _ in range(20)]
     lattices: dict[str, tuple[list[str], np.ndarray]] = {}
     for turn in range(rounds):
@@ -263,10 +264,10 @@ def fit(sample: list[tuple[str, str | None]], pieces: list[str], rounds: int = 2
             model.probability[model.never] = 0
         model.forget()
         if turn < rounds - 1:
-            scores = model.unit_scores([words for words, _ in said])
-            best = scores.argmax(axis=1)
-            order = np.sort(scores, axis=1)
-            said = [(words, int(b)) if sure else (words, -1) for (words, _), b, sure in zip(said, best, order[:, -1] - order[:, -2] > SWITCH)]
+            scores, at, said = model.unit_scores([words for own, _ in documents for words in own]), 0, []
+            for own, _ in documents:
+                said += zip(own, path(scores[at : at + len(own)]).tolist())
+                at += len(own)
     return model
 
 
