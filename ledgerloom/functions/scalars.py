@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas
+from ledgerloom.functions.keys import stripped
 
 
 def round_half_away(x: Column, places: int) -> Column:
@@ -70,8 +71,8 @@ def event_slug(text: Column) -> Column:
 
 
 def clamped_confidence(x: Column) -> Column:
-    """Into [0, 1]; values up to 100 are taken as per cent."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when((x > 1) & (x <= 100), x / 100).otherwise(x)))
+    """Into [0, 1]; values up to 100 are taken as per cent. Null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when((x > 1) & (x <= 100), x / 100).otherwise(x))))
 
 
 def tidy_quotes(quotes: Column, least: int = 15, longest: int = 500, most: int = 5) -> Column:
@@ -152,13 +153,14 @@ def telling_sentences(text: Column, words: tuple[str, ...] = schemas.GOOD_WORDS
 
 
 def fitted_text(text: Column, tokens: int, reserve: int = 1200, least: int = 500) -> Column:
-    """The text, or as much of its beginning as a budget of tokens allows, cut at the last paragraph, sentence or line end
-    beyond three quarters of it, with a note."""
+    """The text without outer blanks, or as much of its beginning as a budget of tokens allows, cut at the last paragraph,
+    sentence or line end beyond three quarters of it, with a note."""
     most = int(max(tokens - reserve, least) * schemas.CHARS_PER_TOKEN)
+    text = stripped(text)
     head = F.substring(text, 1, most)
     cut = F.lit(0)
     for mark in ("\n", ". ", "\n\n"):
         before = F.length(head) - F.length(F.substring_index(head, mark, -1)) - len(mark)
         cut = F.when(before > 0.75 * most, before + (1 if mark == ". " else 0)).otherwise(cut)
     kept = F.when(cut > 0, F.substring(head, F.lit(1), cut)).otherwise(head)
-    return F.when(F.length(text) > most, F.concat(kept, F.lit("\n\n[truncated]"))).otherwise(text)
+    return F.when(F.length(text) > most, F.concat(stripped(kept), F.lit("\n\n[truncated]"))).otherwise(text)

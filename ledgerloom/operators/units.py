@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom import schemas
 from ledgerloom.functions import scalars
 
 
@@ -45,12 +46,14 @@ def risk_pairs(sections: DataFrame, filings: DataFrame, companies: DataFrame, sl
     row. Filings of one day are ordered by accession.
     """
     rows = with_filings(sections.filter(F.col("slug") == slug), filings.filter(F.col("form").isin(*forms)), companies)
+    # texts are cut to their budgets before they are shuffled to the window
+    current, prior = (scalars.fitted_text(F.col("text"), int(tokens * part)) for part in (0.6, 0.4))
+    rows = rows.select("section_id", "accession", "cik", "form", "filing_date", period().alias("current_period"), current.alias("current_text"), prior.alias("as_prior"))
     w = Window.partitionBy("cik", "form").orderBy(F.col("filing_date").asc_nulls_last(), "accession", "section_id")
-    pairs = rows.withColumn("prior_text", F.lag("text").over(w)).withColumn("prior_period", F.lag(period()).over(w))
+    pairs = rows.withColumn("prior_text", F.lag("as_prior").over(w)).withColumn("prior_period", F.lag("current_period").over(w))
     return pairs.filter(F.col("prior_text").isNotNull()).select(
-        "section_id", "accession", "cik", "form", period().alias("current_period"), "prior_period",
-        scalars.fitted_text(F.col("text"), int(tokens * 0.6)).alias("current_text"), scalars.fitted_text(F.col("prior_text"), int(tokens * 0.4)).alias("prior_text"),
-    )
+        "section_id", "accession", "cik", "form", "current_period", "prior_period", "current_text", "prior_text", "filing_date"
+    )
 
 
 def event_units(sections: DataFrame, filings: DataFrame, companies: DataFrame, form: str = "8-K", tokens: int = 6000) -> DataFrame:
@@ -74,20 +77,26 @@ def longest_per_name(parts: DataFrame, document: str = "accession") -> DataFrame
     return kept.withColumn("ordinal", F.row_number().over(again) - 1)
 
 
-def coverage(sections: DataFrame, sizes: DataFrame, least: dict[str, float], other: float, key_slugs: tuple[str, ...]) -> DataFrame:
-    """(accession, coverage, slugs, issues) of each filing. sizes: (accession, form, n_chars)."""
-    per = sections.groupBy("accession").agg(F.sum(F.length("text")).alias("covered"), F.array_sort(F.collect_set("slug")).alias("slugs"))
-    share = F.least(F.lit(1.0), F.coalesce(F.col("covered"), F.lit(0)) / F.nullif(F.col("n_chars"), F.lit(0)))
-    limit = F.coalesce(*[F.when(F.col("form") == f, F.lit(v)) for f, v in least.items()], F.lit(other))
-    rows = sizes.join(per, "accession", "left").withColumn("coverage", F.coalesce(share, F.lit(0.0)))
-    slugs = F.coalesce("slugs", F.array().cast("array<string>"))
+def assessment(form: Column, n_chars: Column, covered: Column, slugs: Column, fallback: Column) -> tuple[Column, Column]:
+    """(coverage, issues) of a filing whose sections cover so much of its text. fallback: there is no named section."""
+    share = F.coalesce(F.least(F.lit(1.0), F.coalesce(covered, F.lit(0)) / F.greatest(n_chars, F.lit(1))), F.lit(0.0))
+    name = F.upper(form)
+    least = F.coalesce(*[F.when(name == f, F.lit(v)) for f, v in schemas.LEAST_COVERAGE.items()], F.lit(schemas.OTHER_COVERAGE))
+    hundredths = F.floor(share * 100 + 0.5).cast("int")
+    low = F.concat(F.lit("low_coverage_"), (hundredths / 100).cast("int"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
+    key = F.arrays_overlap(slugs, F.array(*map(F.lit, schemas.KEY_SECTIONS)))
     issues = F.array_compact(
-        F.array(
-            F.when(F.size(slugs) == 0, F.lit("no_sections_detected")).when(F.col("coverage") < limit, F.format_string("low_coverage_%.2f", "coverage")),
-            F.when((F.size(slugs) > 0) & F.col("form").isin("10-K", "10-Q") & ~F.arrays_overlap(slugs, F.array(*map(F.lit, key_slugs))), F.lit("missing_key_sections")),
-        )
+        F.array(F.when(fallback, "no_sections_detected"), F.when(share < least, low), F.when(name.isin("10-K", "10-Q") & ~F.coalesce(key, F.lit(False)), "missing_key_sections"))
     )
-    return rows.select("accession", "coverage", slugs.alias("slugs"), issues.alias("issues"))
+    return share, issues
+
+
+def coverage(sections: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(accession, coverage, slugs, issues) of each filing. sizes: (accession, form, n_chars). Without sections nothing is covered."""
+    per = sections.groupBy("accession").agg(F.sum(F.length("text")).alias("covered"), F.array_sort(F.collect_set("slug")).alias("slugs"))
+    slugs = F.coalesce("slugs", F.array().cast("array<string>"))
+    share, issues = assessment(F.col("form"), F.col("n_chars"), F.col("covered"), slugs, F.size(slugs) == 0)
+    return sizes.join(per, "accession", "left").select("accession", share.alias("coverage"), slugs.alias("slugs"), issues.alias("issues"))
 
 
 def before_gap(matches: DataFrame, document: str, gap: int) -> DataFrame:

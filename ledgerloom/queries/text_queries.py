@@ -25,7 +25,7 @@ def guidance_units(spark, root):
 
 
 def risk_delta_pairs(spark, root):
-    return units.risk_pairs(*_model(spark, root)).withColumn("current_text", F.md5("current_text")).withColumn("prior_text", F.md5("prior_text"))
+    return units.risk_pairs(*_model(spark, root)).drop("filing_date").withColumn("current_text", F.md5("current_text")).withColumn("prior_text", F.md5("prior_text"))
 
 
 def event_text_concat(spark, root):
@@ -39,8 +39,8 @@ def keep_longest_section(spark, root):
 def parse_coverage(spark, root):
     s, f, _ = _model(spark, root)
     sizes = f.select("accession", "form", (F.length("url") * 40).alias("n_chars"))
-    rows = units.coverage(s, sizes, schemas.LEAST_COVERAGE, schemas.OTHER_COVERAGE, schemas.KEY_SECTIONS)
-    return rows.select("accession", scalars.round_half_away(F.col("coverage"), 6).alias("coverage"), F.array_join("slugs", ",").alias("slugs"), F.array_join(F.transform("issues", lambda x: F.regexp_replace(x, "_[0-9.]+$", "")), ",").alias("issues"))
+    rows = units.coverage(s, sizes)
+    return rows.select("accession", scalars.round_half_away(F.col("coverage"), 6).alias("coverage"), F.array_join("slugs", ",").alias("slugs"), F.array_join("issues", ",").alias("issues"))
 
 
 def toc_prefix(spark, root):
@@ -192,7 +192,9 @@ j AS (SELECT s.*, f.cik, f.form, f.filing_date, f.report_date, f.items, c.ticker
 def _fit(expr: str, tokens: int) -> str:
     """The same cut, by the text after the last mark."""
     most = int(max(tokens - 1200, 500) * 3.6)
-    head = f"left({expr}, {most})"
+    trim = lambda x: rf"regexp_replace({x}, '^[\s\p{{Z}}\x0B]+|[\s\p{{Z}}\x0B]+$', '', 'g')"
+    whole = trim(expr)
+    head = f"left({whole}, {most})"
 
     def last(mark: str, n: int) -> str:
         m = {"p": "chr(10) || chr(10)", "s": "'. '", "l": "chr(10)"}[mark]
@@ -200,7 +202,7 @@ def _fit(expr: str, tokens: int) -> str:
         return f"CASE WHEN {at} > {0.75 * most} THEN {at} + {1 if mark == 's' else 0} END"
 
     cut = f"coalesce({last('p', 2)}, {last('s', 2)}, {last('l', 1)}, length({head}))"
-    return f"CASE WHEN length({expr}) > {most} THEN left({expr}, {cut}) || chr(10) || chr(10) || '[truncated]' ELSE {expr} END"
+    return f"CASE WHEN length({whole}) > {most} THEN {trim(f'left({head}, {cut})')} || chr(10) || chr(10) || '[truncated]' ELSE {whole} END"
 
 
 def _terms(question: str) -> str:
@@ -239,10 +241,11 @@ k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY accession, slug OR
 SELECT section_id, CAST(row_number() OVER (PARTITION BY accession ORDER BY ordinal NULLS LAST, slug NULLS FIRST) - 1 AS INTEGER) AS ordinal FROM k""",
     "parse_coverage": _MODEL
     + f""", a AS (SELECT accession, sum(length(text)) AS covered, list_sort(list_distinct(list(slug))) AS slugs FROM s GROUP BY accession),
-x AS (SELECT f.accession, f.form, coalesce(a.slugs, []) AS slugs, coalesce(least(1.0::DOUBLE, coalesce(covered, 0)::DOUBLE / nullif(length(url) * 40, 0)), 0.0) AS coverage FROM f LEFT JOIN a USING (accession))
+x AS (SELECT f.accession, f.form, coalesce(a.slugs, []) AS slugs, coalesce(least(1.0::DOUBLE, coalesce(covered, 0)::DOUBLE / greatest(length(url) * 40, 1)), 0.0) AS coverage FROM f LEFT JOIN a USING (accession))
 SELECT accession, {_round('coverage', 6)} AS coverage, array_to_string(slugs, ',') AS slugs, concat_ws(',',
-  CASE WHEN len(slugs) = 0 THEN 'no_sections_detected' WHEN coverage < CASE WHEN form IN ('10-K', '10-Q') THEN 0.6 WHEN form = '8-K' THEN 0.1 ELSE 0.3 END THEN 'low_coverage' END,
-  CASE WHEN len(slugs) > 0 AND form IN ('10-K', '10-Q') AND NOT list_has_any(slugs, ['mdna', 'risk_factors']) THEN 'missing_key_sections' END) AS issues FROM x""",
+  CASE WHEN len(slugs) = 0 THEN 'no_sections_detected' END,
+  CASE WHEN coverage < CASE WHEN form IN ('10-K', '10-Q') THEN 0.6 WHEN form = '8-K' THEN 0.1 ELSE 0.3 END THEN printf('low_coverage_%d.%02d', CAST(floor(coverage * 100::DOUBLE + 0.5::DOUBLE) AS INTEGER) // 100, CAST(floor(coverage * 100::DOUBLE + 0.5::DOUBLE) AS INTEGER) % 100) END,
+  CASE WHEN form IN ('10-K', '10-Q') AND NOT list_has_any(slugs, ['mdna', 'risk_factors']) THEN 'missing_key_sections' END) AS issues FROM x""",
     "toc_prefix": """WITH e AS (SELECT DISTINCT user_id AS document, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS start FROM events),
 g AS (SELECT *, CASE WHEN coalesce(lead(start) OVER (PARTITION BY document ORDER BY start) - start, 86400) >= 86400 THEN 1 ELSE 0 END AS far FROM e)
 SELECT document, start FROM (SELECT *, sum(far) OVER (PARTITION BY document ORDER BY start ROWS UNBOUNDED PRECEDING) AS passed FROM g) WHERE passed = 0""",

@@ -6,7 +6,7 @@ from ledgerloom.agent.router import CapExceeded, Model, Retryable, Router, heuri
 REJECTED = [
     "", "-- nothing", "DROP TABLE filings", "SELECT 1; SELECT 2", "INSERT INTO filings VALUES (1)", "WITH x AS (SELECT 1) DELETE FROM filings", "SELECT * FROM parquet.`/etc`", "SELECT * FROM read_csv('/etc/passwd')",
     "SELECT reflect('java.lang.System', 'getenv')", "SELECT java_method('java.lang.Runtime', 'getRuntime')", "SET spark.x = 1", "SELECT * FROM csv.`/x`", "EXPLAIN SELECT 1", "SELECT input_file_name() FROM filings", "SELEC 1",
-    "PRAGMA x", "CALL y()", "SELECT * FROM text.`/etc/hosts`", "ADD JAR x", "/* */",
+    "PRAGMA x", "CALL y()", "SELECT * FROM text.`/etc/hosts`", "ADD JAR x", "/* */", "SELECT session_user()", "SELECT a.b.c(1)", "VALUES (1)); DROP TABLE x", "SELECT 1 INTO x", "DESCRIBE filings", "SELECT raise_error('x')",
 ]
 
 
@@ -22,7 +22,11 @@ def test_rejected(spark, views, sql):
         sqltool.sql_query(spark, sql)
 
 
-@pytest.mark.parametrize("sql", ["SELECT * FROM review_queue", "SELECT n FROM filings UNION ALL SELECT n FROM review_queue", "SELECT (SELECT max(n) FROM llm_cache) AS x", "SELECT * FROM filings f, llm_cache c", "SELECT * FROM other.filings", "SELECT * FROM range(5)"])
+@pytest.mark.parametrize("sql", ["SELECT * FROM review_queue", "SELECT n FROM filings UNION ALL SELECT n FROM review_queue", "SELECT (SELECT max(n) FROM llm_cache) AS x", "SELECT * FROM filings f, llm_cache c", "SELECT * FROM other.filings", "SELECT * FROM range(5)",
+    "WITH review_queue AS (SELECT * FROM review_queue) SELECT * FROM review_queue", "WITH filings AS (SELECT * FROM review_queue) SELECT * FROM filings", "SELECT * FROM (WITH x AS (SELECT 1 AS n) SELECT * FROM x) y, x",
+    "WITH a AS (SELECT * FROM b), b AS (SELECT 1 AS n) SELECT * FROM a", "SELECT n FROM filings WHERE n IN (SELECT n FROM llm_cache)", "SELECT * FROM IDENTIFIER('review_queue')", "WITH x AS (SELECT n FROM review_queue) SELECT 1 FROM filings",
+    "SELECT * FROM filings LATERAL VIEW java_method('a', 'b') t AS z", "SELECT count(*) FILTER (WHERE EXISTS (SELECT 1 FROM review_queue)) FROM filings", "TABLE review_queue", "FROM review_queue SELECT n", "SELECT CURRENT_USER",
+])
 def test_unreadable(spark, views, sql):
     with pytest.raises(sqltool.Rejected):
         sqltool.sql_query(spark, sql)
@@ -33,6 +37,9 @@ def test_unreadable(spark, views, sql):
     [
         ("SELECT * FROM filings", 50), ("select n from filings limit 3;", 3), ("WITH a AS (SELECT n FROM filings), b AS (SELECT n FROM a) SELECT * FROM b WHERE n < 2", 2), ("SELECT 'drop table x; --' AS t FROM filings LIMIT 1", 1),
         ("SELECT f.n FROM filings f, companies c WHERE f.cik = c.cik -- joined", 50), ("SELECT (SELECT count(*) FROM companies) AS n", 1), ("SELECT EXTRACT(year FROM DATE'2020-01-01') AS y FROM filings LIMIT 1", 1), ("SELECT * FROM (SELECT n FROM filings LIMIT 70) x", 50),
+        ("SELECT n AS load, 1 AS `set` FROM filings ORDER BY n LIMIT 2", 2), ("SELECT cik, row_number() OVER (PARTITION BY cik ORDER BY n) AS r FROM filings WHERE n BETWEEN 1 AND 3", 3),
+        ("WITH a AS (SELECT n FROM filings) SELECT (SELECT max(n) FROM a) AS m", 1), ("SELECT n FROM filings INTERSECT SELECT n FROM companies WHERE n < 4", 4),
+        ("SELECT x FROM filings LATERAL VIEW explode(array(1, 2)) t AS x WHERE n = 1", 2), ("SELECT CASE WHEN n > 1 THEN 'a' END AS c, count(*) AS k FROM filings GROUP BY 1 HAVING count(*) > 1", 2),
     ],
 )
 def test_accepted(spark, views, sql, n):
