@@ -57,5 +57,41 @@ def test_findings_and_odd_rows(spark):
 
 
 def test_line_figures():
-    assert quality.autocorrelation([5, 5, 5, 5]) == 1.0 and quality.autocorrelation([1, 9, 1, 9, 1, 9]) < 0
+    assert quality.autocorrelation([5, 5, 5, 5]) == 1.0 and quality.autocorrelation([1, 9, 1, 9, 1, 9], 1) < 0 < quality.autocorrelation([1, 9, 1, 9, 1, 9])
     assert quality.alignment(["a|b|c", "d|e|f"]) == 1.0 and quality.alignment(["plain", "words"]) == 0.0
+
+
+OUTLINE = ["District offices and depots of the group", "harbour works together with cold stores", "Regional laboratories and their fittings", "kilns and furnaces for road materials"]
+
+
+def test_columns_alone_decide():
+    cells = [("Northern district warehouses", "harbour works"), ("Southern foundry", "cold stores and depots"), ("Inland laboratories", "wafer lines"), ("Coastal terminals and quays", "grain elevators")]
+    aligned, ragged = [f"{a:<34}{b}" for a, b in cells], [f"{a} {b}" for a, b in cells]
+    assert quality.column_alignment(aligned) == 1.0 and quality.column_alignment(ragged) == 0.0
+    assert quality.block_kind(aligned) == "table" and quality.block_kind(ragged) == "text"
+    right = [f"{a:<30}{n:>12,}" for a, n in (("Net sales of all of the segments", 4), ("Gross profit", 93111), ("Selling expense", 77), ("Term debt", 1200300))]
+    assert quality.block_kind(right) == "table"
+
+
+def test_indents_alone_decide():
+    nested = [("    " if n % 2 else "") + x for n, x in enumerate(OUTLINE * 2)]
+    assert quality.periodicity(nested)[1] == 1.0 and quality.block_kind(nested) == "list"
+    assert quality.periodicity(OUTLINE * 2) == (0.0, 0.0) and quality.block_kind(OUTLINE * 2) == "text"
+    assert quality.block_kind([x + "." for x in nested]) == "text"  # the ends of sentences forbid it
+    assert quality.block_kind(["    " + x for x in OUTLINE * 2]) == "text"  # one indent for all says nothing
+
+
+def test_line_lengths_alone_decide():
+    long, short = "the offices and depots of the northern district group with laboratories", "the harbour works and cold stores"
+    alternating, mixed = [long, short] * 4, [long, long, short, long, short, short, short, long]
+    assert quality.autocorrelation([len(x) for x in alternating]) > 0.5 > quality.autocorrelation([len(x) for x in mixed])
+    assert quality.block_kind(alternating) == "list" and quality.block_kind(mixed) == "text"
+    assert quality.autocorrelation([5, 5]) == 0.0 and quality.autocorrelation([5, 5, 5]) == 1.0
+
+
+def test_sentences_are_not_joined_with_what_stands_above_them():
+    said = "We had 5,213 employees in our pet nutrition operations, of whom 2,917 worked at the northern site."
+    for above in ("v/6O+d1HkK0rdepKDWvYNiyc7rhGVeJKnr6cZ65iLtzHemVl4bhZtiTEB38+2UoSD", "dei0:TaxRateLummoka 2012-06-01 653850 co:SharesIssued 2013-02-01", "Home Archive Contacts Careers Quotes Sitemap Suppliers", "list of subsidiaries in Tortowick"):
+        assert quality.prose_chars([above] * 3 + [said]) == len("".join(said.split()))
+    wrapped = ["We had 5,213 employees in our pet nutrition operations, of whom", "2,917 worked at the northern site, although", "headcount stayed unexpected."]
+    assert quality.prose_chars(wrapped) == len("".join("".join(wrapped).split()))
