@@ -3,18 +3,22 @@
 1. Confirming recurring passages: of every WINDOW consecutive character grams the least hash is kept, so two texts that
    share LEAST = GRAM + WINDOW - 1 characters keep an equal gram. Grams kept under two accessions are recurring; the
    record with the least accession is the one their text is taken from.
-2. Compiling automata: the passages of one such record form a shard, an Aho-Corasick automaton of at most its own few
-   passages, however large the corpus. Every record that keeps one of the shard's grams is sent to the shard's tasks;
-   a shard with many records is spread over tasks, each compiling the same automaton.
-3. Streaming: each record is run through the automaton, which locates every occurrence of every passage. A span of
-   LEAST characters round a passage reaches REACH characters beyond it to the left or to the right, so occurrences
-   meet by the hash of the passage with that much text on either side.
-   What occurs again and again within one record (rules, repeated tables) would meet at every pair of places; there the
-   windows of LEAST characters themselves are hashed, and only the first place of each stands for it.
-4. Each pair of records that met is held side by side at the offset found, and its common runs are measured.
-
-Equal texts are one class from the start (by a 64-bit hash): grams, occurrences and comparisons are made once per class,
-and only the pairs asked for are spread over its members.
+2. Compiling sharded automata: recurring passages are hashed, by record, into shards of about SHARD_PASSAGES passages, each
+   an Aho-Corasick automaton. Every record that keeps one of a shard's grams is sent to it (no other can hold one of its
+   spans); a shard through which many characters pass is cut into slices. Rows come sorted by shard and slice, passages
+   first, so that a task compiles each automaton once and then streams records through it.
+3. Locating every occurrence: a span of LEAST characters round a passage reaches REACH characters beyond it to the left
+   or to the right, so occurrences meet by the hash of the passage with that much text on either side. Those that meet
+   under one accession only are left out.
+4. Up to CROWD places that meet are paired, and the common runs of each two texts are measured at the offset found.
+   Where more meet, in one text or in many, nothing is paired: every window of LEAST characters round the places is named
+   by a 128-bit digest, and a window that several texts hold is a shared span of each. Texts that hold the same windows
+   form a set.
+So all work grows with the number of occurrences, however many records share one. Sets of a crowd are the only lists of
+members; they are paired last, where pairs are asked for, in cells spread over tasks.
+
+Equal texts are one class from the start (by a 64-bit hash): grams, occurrences and windows are made once per class, and
+only the pairs asked for are spread over its members.
 
 Every character counts, blanks and line ends too. Texts under LEAST characters, null texts and null section ids share
 nothing. Sections of one accession are no pair; an accession without eighteen digits is compared as its text, a null
@@ -35,12 +39,21 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import keys
 from ledgerloom.llm.grams import TOP, mixed, slices, winnow
 from ledgerloom.plans.cut import written
+from ledgerloom.plans.pairs import pairs_within
 
 LEAST = 300
 GRAM = 150
 WINDOW = LEAST - GRAM + 1
 REACH = (LEAST - GRAM) // 2
 STEP = 500_000
+#: An automaton holds about so many passages (150 characters each).
+SHARD_PASSAGES = 2000
+#: A very long record's passages are dealt to shards by parts of so many characters.
+PART_CHARS = 100_000
+#: So many places that meet are paired; more are counted by windows. Both ways find the same.
+CROWD = 64
+#: A slice of a shard has about so many characters pass through it.
+SLICE_CHARS = 16_000_000
 
 _BASE = 0xD6E8FEB86659FD93
 _POWERS: dict[str, np.ndarray] = {}
@@ -127,58 +140,61 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def occurrences_in(text: str, automaton: ahocorasick.Automaton) -> Iterator[tuple[int, int, bool, bool]]:
-    """(hash, position, lead, window) of what a text meets others by.
+def compiled(passages: list[str]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton()
+    for p in passages:
+        automaton.add_word(p, 1)
+    automaton.make_automaton()
+    return automaton
 
-    A passage with its surroundings is a lead if it occurs once. The places of one that occurs more often are no leads;
-    beside them stand the windows round them, each a lead at its first place. Two places meet if one is a lead.
-    """
-    around: dict[int, list[int]] = {}
+
+def occurrences_in(text: str, automaton: ahocorasick.Automaton) -> Iterator[tuple[int, int, bool]]:
+    """(hash, position, left) of each occurrence with its surroundings on the left or on the right."""
     for last, _ in automaton.iter(text):
         start, end = last + 1 - GRAM, last + 1
         if start >= REACH:
-            around.setdefault(_hash("<" + text[start - REACH : end]), []).append(start)
+            yield _hash("<" + text[start - REACH : end]), start, True
         if end + REACH <= len(text):
-            around.setdefault(_hash(">" + text[start : end + REACH]), []).append(start)
-    repeated: set[int] = set()
-    for h, starts in around.items():
-        for start in starts:
-            yield h, start, len(starts) == 1, False
-        if len(starts) > 1:
-            repeated.update(starts)
-    done, seen = -1, set()
-    for start in sorted(repeated):
-        for w in range(max(done + 1, start + GRAM - LEAST, 0), min(start, len(text) - LEAST) + 1):
-            h = _hash("=" + text[w : w + LEAST])
-            yield h, w, h not in seen, True
-            seen.add(h)
-            done = w
-
-
-OCCURRENCE = "around long, cid long, pos int, lead boolean, window boolean"
-
-
-def occurrences(routed: DataFrame) -> DataFrame:
-    """(around, cid, pos, lead, window): occurrences_in of every routed text, with its shard's automaton."""
-
-    def stream(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, automaton = None, None
-        for batch in it:
-            rows = []
-            for rep, cid, text, passages in zip(*(c.to_pylist() for c in batch.columns)):
-                if automaton is None or rep != shard:
-                    shard, automaton = rep, ahocorasick.Automaton()
-                    for p in passages:
-                        automaton.add_word(p, 1)
-                    automaton.make_automaton()
-                rows += [(h, cid, at, lead, window) for h, at, lead, window in occurrences_in(text, automaton)]
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names=["around", "cid", "pos", "lead", "window"]
-            )
-
-    # several shards may find one place; it is a lead if it was one for any of them
-    return routed.mapInArrow(stream, OCCURRENCE).groupBy("around", "cid", "pos").agg(F.bool_or("lead").alias("lead"), F.bool_or("window").alias("window"))
+            yield _hash(">" + text[start : end + REACH]), start, False
+
+
+ROUTED = "shard int, slice int, cid long, text string"
+OCCURRENCE = "around long, cid long, pos int, left boolean"
+
+
+def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The occurrences in rows of ROUTED, sorted by shard, slice and cid: rows without cid have the passages of the shard."""
+    now, passages, automaton = None, [], None
+    for batch in batches:
+        rows: list[tuple] = []
+        for shard, slice_, cid, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if (shard, slice_) != now:
+                # the slices of one shard that come one after the other share the automaton
+                passages, automaton = ([], None) if now is None or shard != now[0] else (None, automaton)
+                now = shard, slice_
+            if cid is None:
+                if passages is not None:
+                    passages.append(text)
+                continue
+            if passages is not None:
+                automaton, passages = compiled(passages), None
+            rows += [(h, cid, at, left) for h, at, left in occurrences_in(text, automaton)]
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, types)], names=["around", "cid", "pos", "left"])
+
+
+def routed(recurring: DataFrame, grams: DataFrame, texts: DataFrame, shard_passages: int = SHARD_PASSAGES, slice_chars: int = SLICE_CHARS) -> DataFrame:
+    """ROUTED rows: each shard's passages, and the texts that keep one of its grams, sorted for located()."""
+    shards = max(1, -(-recurring.count() // shard_passages))
+    dealt = recurring.withColumn("shard", F.pmod(F.xxhash64("rep", F.floor(F.col("pos") / PART_CHARS)), F.lit(shards)).cast("int"))
+    routes = grams.select("gram", "cid").join(dealt.select("gram", "shard"), "gram").select("shard", "cid").distinct()
+    sized = routes.join(texts.select("cid", F.length("text").alias("n")), "cid")
+    slices_ = sized.groupBy("shard").agg(F.ceil(F.sum("n") / slice_chars).cast("int").alias("slices"))
+    own = routes.join(slices_, "shard").select("shard", F.pmod(F.xxhash64("cid"), F.col("slices")).cast("int").alias("slice"), "cid").join(texts, "cid").select("shard", "slice", "cid", "text")
+    held = dealt.select("shard", "rep", "pos").join(texts.withColumnRenamed("cid", "rep"), "rep").select("shard", F.substring("text", F.col("pos") + 1, F.lit(GRAM)).alias("text"))
+    # passages are sent once to each slice of their shard
+    held = held.join(slices_, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(None).cast("bigint").alias("cid"), "text")
+    return held.unionByName(own).repartition("shard", "slice").sortWithinPartitions("shard", "slice", F.col("cid").asc_nulls_first())
 
 
 def common_runs(a: np.ndarray, b: np.ndarray, offset: int, least: int = LEAST) -> list[tuple[int, int]]:
@@ -192,42 +208,70 @@ def common_runs(a: np.ndarray, b: np.ndarray, offset: int, least: int = LEAST) -
     return [(int(s) + lo, int(e - s)) for s, e in zip(begin, end) if e - s >= least]
 
 
-def class_spans(own: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cid_a, cid_b, start_a, start_b, n_chars): the spans of LEAST characters or more that two classes share; and
-    (around, cid, pos, lo, hi): the places of windows that occur more than once in their own text, with the least and greatest
-    accession of all texts that hold the window.
+def windows_of(text: str, firsts: list[int], lasts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, digests as pairs of 64-bit numbers) of the windows of LEAST characters that begin in one of the ranges."""
+    begins = np.zeros(max(0, len(text) - LEAST + 1) + 1, np.int64)
+    top = len(begins) - 1
+    for a, b in zip(firsts, lasts):
+        if a < top:
+            begins[a] += 1
+            begins[min(b + 1, top)] -= 1
+    starts = np.flatnonzero(np.cumsum(begins[:-1]) > 0)
+    raw = memoryview(text.encode("utf-32-le", "surrogatepass"))
+    digest = xxhash.xxh3_128_digest
+    named = b"".join([digest(raw[4 * s : 4 * (s + LEAST)]) for s in starts.tolist()])
+    return starts, np.frombuffer(named, ">i8").reshape(-1, 2)
 
-    Classes that stand under one and the same accession only are left out.
-    """
-    grams = written(kept_grams(own), "span-grams")
-    recurring = (
-        grams.groupBy("gram").agg(F.min(F.struct("lo", "cid", "pos")).alias("first"), F.min("cid").alias("c"), F.max("cid").alias("d"), F.max("hi").alias("hi"))
-        .filter((F.col("c") != F.col("d")) & (F.col("first.lo") != F.col("hi")))
-        .select("gram", F.col("first.cid").alias("rep"), F.col("first.pos").alias("pos"))
-    )
-    recurring = written(recurring, "span-passages")
-    # few records hold recurring passages; from here on only their texts are moved
-    routes = written(grams.select("gram", "cid").join(recurring.select("gram", "rep"), "gram").select("rep", "cid").distinct(), "span-routes")
-    bounds = grams.groupBy("cid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    touched = own.select("cid", "text").join(routes.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
-    touched = written(touched, "span-texts")
-    places = recurring.groupBy("rep").agg(F.collect_set("pos").alias("places"))
-    shards = places.join(touched.withColumnRenamed("cid", "rep"), "rep").select(
-        "rep", F.expr(f"transform(places, p -> substring(text, p + 1, {GRAM}))").alias("passages")
+
+WINDOWS = "hi long, lo long, cid long, pos int"
+
+
+def named_windows(places: DataFrame) -> DataFrame:
+    """WINDOWS rows of (cid, text, firsts, lasts)."""
+
+    def name(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for cid, text, firsts, lasts in zip(*(c.to_pylist() for c in batch.columns)):
+                starts, digests = windows_of(text, firsts, lasts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(digests[:, 0].astype(np.int64)), pa.array(digests[:, 1].astype(np.int64)), pa.array(np.full(len(starts), cid, np.int64)), pa.array(starts.astype(np.int32))],
+                    names=["hi", "lo", "cid", "pos"],
+                )
+
+    return places.select("cid", "text", "firsts", "lasts").mapInArrow(name, WINDOWS)
+
+
+def crowd_windows(places: DataFrame, texts: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(x, y, cid, pos): the windows round crowded places that several classes hold under several accessions, x and y naming
+    the set of classes that hold them. Rows are as many as such windows, however many records share them."""
+    first = F.col("pos") - F.when(F.col("left"), LEAST - GRAM).otherwise(REACH)
+    last = F.col("pos") - F.when(F.col("left"), REACH).otherwise(0)
+    ranges = places.select("cid", F.greatest(first, F.lit(0)).alias("first"), last.alias("last")).distinct()
+    ranges = ranges.groupBy("cid").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))  # of one text
+    windows = written(named_windows(texts.join(ranges, "cid")), "span-windows")
+    sets = (
+        windows.select("hi", "lo", "cid").distinct().groupBy("hi", "lo")
+        .agg(F.min("cid").alias("c"), F.max("cid").alias("d"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y"))
+        .filter("c <> d").select("hi", "lo", "x", "y")
     )
-    routed = routes.join(touched, "cid").join(shards, "rep").select("rep", "cid", "text", "passages")
-    found = written(occurrences(routed), "span-occurrences")
-    leading = found.filter("lead or not window").select("around", "cid", "pos", "lead")
+    rows = written(windows.join(sets, ["hi", "lo"]).select("x", "y", "cid", "pos"), "span-sets")
+    kept = rows.select("x", "y", "cid").distinct().join(bounds, "cid").groupBy("x", "y").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("x", "y")
+    return rows.join(kept, ["x", "y"], "left_semi")
+
+
+SPANS = "cid_a long, cid_b long, start_a int, start_b int, n_chars int"
+
+
+def paired_spans(places: DataFrame, texts: DataFrame, bounds: DataFrame) -> DataFrame:
+    """SPANS of places that meet in small numbers: each two classes are held side by side at the offset found."""
+    side = places.select("around", "cid", "pos")
     met = (
-        leading.toDF("around", "cid_a", "pos_a", "lead_a")
-        .join(leading.toDF("around", "cid_b", "pos_b", "lead_b"), "around")
-        .filter("cid_a < cid_b and (lead_a or lead_b)")
-        .select("cid_a", "cid_b", (F.col("pos_a") - F.col("pos_b")).alias("offset"))
-        .distinct()
+        side.toDF("around", "cid_a", "pos_a").join(side.toDF("around", "cid_b", "pos_b"), "around").filter("cid_a < cid_b")
+        .select("cid_a", "cid_b", (F.col("pos_a") - F.col("pos_b")).alias("offset")).distinct()
         .join(bounds.toDF("cid_a", "lo_a", "hi_a"), "cid_a").join(bounds.toDF("cid_b", "lo_b", "hi_b"), "cid_b")
         .filter("least(lo_a, lo_b) <> greatest(hi_a, hi_b)")
     )
-    sided = met.join(touched.toDF("cid_a", "text_a"), "cid_a").join(touched.toDF("cid_b", "text_b"), "cid_b")
+    sided = met.join(texts.toDF("cid_a", "text_a"), "cid_a").join(texts.toDF("cid_b", "text_b"), "cid_b")
 
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -239,44 +283,63 @@ def class_spans(own: DataFrame) -> tuple[DataFrame, DataFrame]:
                 [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names=["cid_a", "cid_b", "start_a", "start_b", "n_chars"]
             )
 
-    schema = "cid_a long, cid_b long, start_a int, start_b int, n_chars int"
-    spans = sided.select("cid_a", "cid_b", "offset", "text_a", "text_b").mapInArrow(measure, schema)
-    windows = found.filter("window").select("around", "cid", "pos").join(bounds, "cid")
-    held = windows.groupBy("around").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi")
-    return spans, windows.select("around", "cid", "pos").join(held, "around")
+    return sided.select("cid_a", "cid_b", "offset", "text_a", "text_b").mapInArrow(measure, SPANS)
+
+
+def class_spans(own: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """paired_spans, crowd_windows, and (cid, lo, hi), the least and greatest accession of each class: together the shared
+    spans of classes that stand under several accessions. Of a class's copies nothing is said here."""
+    grams = written(kept_grams(own), "span-grams")
+    recurring = (
+        grams.groupBy("gram").agg(F.min(F.struct("lo", "cid", "pos")).alias("first"), F.min("cid").alias("c"), F.max("cid").alias("d"), F.max("hi").alias("hi"))
+        .filter((F.col("c") != F.col("d")) & (F.col("first.lo") != F.col("hi")))
+        .select("gram", F.col("first.cid").alias("rep"), F.col("first.pos").alias("pos"))
+    )
+    recurring = written(recurring, "span-passages")
+    # few records hold recurring passages; from here on only their texts are moved
+    bounds = grams.groupBy("cid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    touching = grams.select("gram", "cid").join(recurring.select("gram"), "gram", "left_semi").select("cid").distinct()
+    texts = written(own.select("cid", "text").join(touching, "cid", "left_semi").dropDuplicates(["cid"]), "span-texts")
+    found = written(routed(recurring, grams, texts).mapInArrow(located, OCCURRENCE).distinct(), "span-occurrences")
+    met = (
+        found.join(bounds, "cid").groupBy("around")
+        .agg(F.min("cid").alias("c"), F.max("cid").alias("d"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n"))
+        .filter("c <> d AND lo <> hi").select("around", (F.col("n") > crowd).alias("crowded"))
+    )
+    places = written(found.join(met, "around"), "span-places")
+    return paired_spans(places.filter("NOT crowded"), texts, bounds), crowd_windows(places.filter("crowded"), texts, bounds), bounds
 
 
-def shared_pairs(sections: DataFrame) -> DataFrame:
+def shared_pairs(sections: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(section_a, section_b), section_a < section_b: the pairs of sections of two accessions that share a span."""
     own = _own(sections)
     members = own.select("cid", "acc", "section_id").distinct()
-    linked = class_spans(own)[0].select("cid_a", "cid_b").distinct()
-    copied = members.groupBy("cid").agg(F.min("acc").alias("lo"), F.max("acc").alias("hi")).filter("lo <> hi").select(F.col("cid").alias("cid_a"), F.col("cid").alias("cid_b"))
-    both = linked.unionByName(copied)
-    wide = both.join(members.toDF("cid_a", "acc_a", "x"), "cid_a").join(members.toDF("cid_b", "acc_b", "y"), "cid_b").filter("acc_a <> acc_b and x <> y")
-    return wide.select(F.least("x", "y").alias("section_a"), F.greatest("x", "y").alias("section_b")).distinct()
+    spans, windows, _ = class_spans(own, crowd)
+    sets = windows.select("x", "y", "cid").distinct()
+    linked = spans.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).unionByName(pairs_within(sets, ["x", "y"], "cid").select("a", "b")).distinct()
+    wide = linked.join(members.toDF("a", "acc_a", "p"), "a").join(members.toDF("b", "acc_b", "q"), "b").filter("acc_a <> acc_b AND p <> q")
+    copies = pairs_within(members, ["cid"], "section_id", ("acc",), unlike=F.expr("acc_a <> acc_b AND a <> b"))
+    both = wide.select(F.least("p", "q").alias("section_a"), F.greatest("p", "q").alias("section_b")).unionByName(copies.select(F.col("a").alias("section_a"), F.col("b").alias("section_b")))
+    return both.distinct()
 
 
-def shared_amounts(sections: DataFrame) -> DataFrame:
+def shared_amounts(sections: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(section_id, n_chars, n_shared): how much of each section stands in sections of other accessions.
 
     Overlapping spans count once; a text that stands under two accessions is shared as a whole. Every section id has one
-    row; a null text has 0 characters.
+    row; a null text has 0 characters. Several texts under one section id give the greatest values.
     """
     own = _own(sections)
-    members = own.select("cid", "acc", "section_id", F.length("text").alias("n")).distinct()
-    bounds = members.groupBy("cid").agg(F.min("acc").alias("lo"), F.max("acc").alias("hi"))
-    spans, windows = class_spans(own)
+    spans, windows, bounds = class_spans(own, crowd)
     spans = written(spans, "span-shares")
     sides = spans.selectExpr("cid_a AS cid", "cid_b AS other", "start_a AS start", "n_chars AS n").unionAll(spans.selectExpr("cid_b", "cid_a", "start_b", "n_chars"))
-    sides = sides.join(bounds.toDF("other", "lo", "hi"), "other").distinct()
-    places = sides.join(members.select("cid", "acc", "section_id"), "cid").filter("NOT (lo = acc AND hi = acc)").select("section_id", "start", "n")
-    whole = members.join(bounds.filter("lo <> hi").select("cid"), "cid", "left_semi").select("section_id", F.lit(0).alias("start"), "n")
-    again = windows.join(members.select("cid", "acc", "section_id"), "cid").filter("NOT (lo = acc AND hi = acc)").selectExpr("section_id", "pos AS start", f"{LEAST} AS n")
-    places = places.unionByName(whole).unionByName(again).distinct()
+    places = sides.select("cid", "start", "n").unionByName(windows.select("cid", F.col("pos").alias("start"), F.lit(LEAST).alias("n"))).distinct()
     # the covered length is the sum of what each span adds beyond the furthest end before it
-    before = F.expr("max(start + n) over (partition by section_id order by start, n rows between unbounded preceding and 1 preceding)")
+    before = F.expr("max(start + n) over (partition by cid order by start, n rows between unbounded preceding and 1 preceding)")
     added = F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest(F.col("start"), F.coalesce(F.col("before"), F.lit(0))))
-    shared = places.withColumn("before", before).groupBy("section_id").agg(F.sum(added).alias("n_shared"))
+    shared = places.withColumn("before", before).groupBy("cid").agg(F.sum(added).alias("n"))
+    members = own.select("cid", "section_id", F.length("text").alias("size")).distinct()
+    copied = bounds.filter("lo <> hi").select("cid", F.lit(True).alias("whole"))
+    per = members.join(shared, "cid", "left").join(copied, "cid", "left").groupBy("section_id").agg(F.max(F.when(F.col("whole"), F.col("size")).otherwise(F.col("n"))).alias("n_shared"))
     sizes = sections.filter(F.col("section_id").isNotNull()).groupBy("section_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("n_chars"))
-    return sizes.join(shared, "section_id", "left").select("section_id", "n_chars", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
+    return sizes.join(per, "section_id", "left").select("section_id", "n_chars", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))

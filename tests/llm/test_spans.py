@@ -1,6 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import spans
 
@@ -41,15 +44,17 @@ def frame(spark):
     return spark.createDataFrame([(*r, 1, "x") for r in corpus()], "section_id string, accession string, text string, cid int, rep string")
 
 
-def test_pairs(spark):
-    got = [tuple(r) for r in spans.shared_pairs(frame(spark)).collect()]
+@pytest.mark.parametrize("crowd", [64, 3, 0])
+def test_pairs(spark, crowd):
+    got = [tuple(r) for r in spans.shared_pairs(frame(spark), crowd).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(corpus())
     assert spans.shared_pairs(frame(spark).limit(0)).collect() == []
 
 
-def test_shares(spark):
+@pytest.mark.parametrize("crowd", [64, 3, 0])
+def test_shares(spark, crowd):
     rows = {k: (a, t) for k, a, t in corpus() if k is not None}
-    got = {r.section_id: r for r in spans.shared_amounts(frame(spark)).collect()}
+    got = {r.section_id: r for r in spans.shared_amounts(frame(spark), crowd).collect()}
     assert set(got) == set(rows)
     windows = {}
     for k, (a, t) in rows.items():
@@ -81,11 +86,54 @@ def test_runs():
     assert spans.common_runs(a, b, 2) == [(2, 310)] and spans.common_runs(a, b, 5000) == []
 
 
-def test_repeats_meet_at_few_places():
-    import ahocorasick
-
-    automaton = ahocorasick.Automaton()
-    automaton.add_word("-" * spans.GRAM, 1)
-    automaton.make_automaton()
-    found = list(spans.occurrences_in("-" * 20_000, automaton))
-    assert sum(lead for _, _, lead, _ in found) == 1 and len(found) < 3 * 20_000
+def rows_of(*rows):
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.string()))], names=["shard", "slice", "cid", "text"])
+
+
+def test_one_automaton_for_each_shard(monkeypatch):
+    """However many records and slices stream through it, a task compiles a shard's passages once."""
+    rng, built, compiled = random.Random(6), [], spans.compiled
+    monkeypatch.setattr(spans, "compiled", lambda p: built.append(len(p)) or compiled(p))
+    passages = [[text(rng, spans.GRAM) for _ in range(5)] for _ in range(3)]
+    rows, want = [], 0
+    for shard, own in enumerate(passages):
+        for part in range(2):
+            rows += [(shard, part, None, p) for p in own]
+            for cid in range(20):
+                rows.append((shard, part, 100 * part + cid, "x" * 200 + own[cid % 5] + "y" * 200))
+                want += 1
+    found = [r for b in (1, 7, 999) for r in spans.located(iter([rows_of(*rows[k : k + b]) for k in range(0, len(rows), b)]))]
+    assert built == [5, 5, 5] * 3 and sum(b.num_rows for b in found) == 3 * 2 * want
+
+
+def test_shards_of_a_plan(spark):
+    own = spans._own(frame(spark))
+    grams = spans.kept_grams(own).cache()
+    recurring = grams.groupBy("gram").agg(F.min(F.struct("cid", "pos")).alias("m")).select("gram", F.col("m.cid").alias("rep"), "m.pos")
+    rows = spans.routed(recurring, grams, own.dropDuplicates(["cid"]).select("cid", "text"), shard_passages=20, slice_chars=5000)
+    n = recurring.count()
+    held = rows.filter("cid is null").groupBy("shard", "slice").count().collect()
+    assert len({r["shard"] for r in held}) <= -(-n // 20) and max(r["slice"] for r in held) > 0
+    assert sum(r["count"] for r in held if r["slice"] == 0) == n  # each passage once in each slice
+    assert rows.filter("cid is not null").groupBy("shard", "cid").count().filter("count > 1").count() == 0
+
+
+def test_windows_are_named_once():
+    t = text(random.Random(3), 1000)
+    starts, digests = spans.windows_of(t, [0, 100, 650, 900], [50, 130, 5000, 950])
+    assert starts.tolist() == [*range(51), *range(100, 131), *range(650, 701)] and len(set(map(tuple, digests.tolist()))) == len(starts)
+    again = spans.windows_of("é" + t, [101], [101])[1]
+    assert again.tolist() == digests[[51]].tolist() and spans.windows_of("short", [0], [9])[0].tolist() == []
+
+
+def test_a_notice_in_20000_records(spark):
+    """Work and rows grow with the occurrences: no record is paired with another."""
+    rng = random.Random(8)
+    notice, n = text(rng, 320), 20_000
+    rows = spark.range(n).selectExpr("id AS k", "concat('s', id) AS section_id", "lpad(cast(id AS string), 18, '0') AS accession")
+    noise = F.concat_ws(" ", *[F.md5(F.concat("section_id", F.lit(str(i)))) for i in range(3)])
+    rows = rows.withColumn("text", F.concat(noise, F.lit(notice), F.reverse(noise))).drop("k")
+    out = spans.shared_amounts(rows)
+    assert out.filter("n_shared BETWEEN 320 AND 340").count() == n  # a few characters beside it agree by chance
+    paired, windows, _ = spans.class_spans(spans._own(rows))
+    assert paired.count() == 0 and n * 21 <= windows.count() <= n * 41
