@@ -2,7 +2,7 @@
 
 1. Confirming recurring passages: of every WINDOW consecutive character grams the least hash is kept, so two texts that
    share LEAST = GRAM + WINDOW - 1 characters keep an equal gram. Grams kept under two accessions are recurring; the
-   record with the least accession is the one their text is taken from.
+   one with the least hash is the one their text is taken from.
 2. Compiling sharded automata: recurring passages are hashed, by record, into shards of about SHARD_PASSAGES passages, each
    an Aho-Corasick automaton. Every record that keeps one of a shard's grams is sent to it (no other can hold one of its
    spans); a shard through which many characters pass is cut into slices. Rows come sorted by shard and slice, passages
@@ -48,8 +48,6 @@ REACH = (LEAST - GRAM) // 2
 STEP = 500_000
 #: An automaton holds about so many passages (150 characters each).
 SHARD_PASSAGES = 2000
-#: A very long record's passages are dealt to shards by parts of so many characters.
-PART_CHARS = 100_000
 #: So many places that meet are paired; more are counted by windows. Both ways find the same.
 CROWD = 64
 #: A slice of a shard has about so many characters pass through it.
@@ -120,7 +118,7 @@ def _own(sections: DataFrame) -> DataFrame:
 
 
 def kept_grams(own: DataFrame) -> DataFrame:
-    """(gram, cid, pos, lo, hi): each class's grams once, with the least and greatest accession that has the class."""
+    """(gram, acc, cid, pos): the grams of each text, each at its first place."""
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -132,8 +130,7 @@ def kept_grams(own: DataFrame) -> DataFrame:
                     [pa.array(value.view(np.int64)), rows.column(1), rows.column(0), pa.array(place.astype(np.int32))], names=["gram", "acc", "cid", "pos"]
                 )
 
-    rows = own.select("cid", "acc", "text").mapInArrow(scan, "gram long, acc long, cid long, pos int")
-    return rows.groupBy("gram", "cid").agg(F.min("pos").alias("pos"), F.min("acc").alias("lo"), F.max("acc").alias("hi"))
+    return own.select("cid", "acc", "text").mapInArrow(scan, "gram long, acc long, cid long, pos int")
 
 
 def _hash(text: str) -> int:
@@ -183,15 +180,29 @@ def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, types)], names=["around", "cid", "pos", "left"])
 
 
-def routed(recurring: DataFrame, grams: DataFrame, texts: DataFrame, shard_passages: int = SHARD_PASSAGES, slice_chars: int = SLICE_CHARS) -> DataFrame:
-    """ROUTED rows: each shard's passages, and the texts that keep one of its grams, sorted for located()."""
+def dealt(grams: DataFrame, shard_passages: int = SHARD_PASSAGES) -> DataFrame:
+    """(shard, rep, cid, pos): where each class keeps a recurring gram, the least class that keeps it, and the passage's shard.
+
+    Passages of one record go to one shard, those of a record with very many to several.
+    """
+    recurring = (
+        grams.groupBy("gram").agg(F.min("cid").alias("rep"), F.max("cid").alias("d"), F.min("acc").alias("lo"), F.max("acc").alias("hi"))
+        .filter("rep <> d AND lo <> hi").select("gram", "rep")
+    )
+    recurring = written(recurring, "span-passages")
     shards = max(1, -(-recurring.count() // shard_passages))
-    dealt = recurring.withColumn("shard", F.pmod(F.xxhash64("rep", F.floor(F.col("pos") / PART_CHARS)), F.lit(shards)).cast("int"))
-    routes = grams.select("gram", "cid").join(dealt.select("gram", "shard"), "gram").select("shard", "cid").distinct()
+    per = recurring.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / shard_passages).alias("parts"))
+    shard = F.pmod(F.xxhash64("rep", F.pmod("gram", "parts")), F.lit(shards)).cast("int")
+    return grams.select("gram", "cid", "pos").join(recurring.join(per, "rep").select("gram", "rep", shard.alias("shard")), "gram").select("shard", "rep", "cid", "pos")
+
+
+def routed(kept: DataFrame, texts: DataFrame, slice_chars: int = SLICE_CHARS) -> DataFrame:
+    """ROUTED rows: each shard's passages, and the texts that keep one of its grams, sorted for located()."""
+    routes = kept.select("shard", "cid").distinct()
     sized = routes.join(texts.select("cid", F.length("text").alias("n")), "cid")
     slices_ = sized.groupBy("shard").agg(F.ceil(F.sum("n") / slice_chars).cast("int").alias("slices"))
     own = routes.join(slices_, "shard").select("shard", F.pmod(F.xxhash64("cid"), F.col("slices")).cast("int").alias("slice"), "cid").join(texts, "cid").select("shard", "slice", "cid", "text")
-    held = dealt.select("shard", "rep", "pos").join(texts.withColumnRenamed("cid", "rep"), "rep").select("shard", F.substring("text", F.col("pos") + 1, F.lit(GRAM)).alias("text"))
+    held = kept.filter("cid = rep").select("shard", "cid", "pos").distinct().join(texts, "cid").select("shard", F.substring("text", F.col("pos") + 1, F.lit(GRAM)).alias("text"))
     # passages are sent once to each slice of their shard
     held = held.join(slices_, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(None).cast("bigint").alias("cid"), "text")
     return held.unionByName(own).repartition("shard", "slice").sortWithinPartitions("shard", "slice", F.col("cid").asc_nulls_first())
@@ -287,27 +298,25 @@ def paired_spans(places: DataFrame, texts: DataFrame, bounds: DataFrame) -> Data
 
 
 def class_spans(own: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """paired_spans, crowd_windows, and (cid, lo, hi), the least and greatest accession of each class: together the shared
-    spans of classes that stand under several accessions. Of a class's copies nothing is said here."""
+    """paired_spans, crowd_windows, and (cid, lo, hi), the least and greatest accession of each class with recurring passages:
+    together the spans that classes of several accessions share. Of a class's own copies nothing is said here."""
     grams = written(kept_grams(own), "span-grams")
-    recurring = (
-        grams.groupBy("gram").agg(F.min(F.struct("lo", "cid", "pos")).alias("first"), F.min("cid").alias("c"), F.max("cid").alias("d"), F.max("hi").alias("hi"))
-        .filter((F.col("c") != F.col("d")) & (F.col("first.lo") != F.col("hi")))
-        .select("gram", F.col("first.cid").alias("rep"), F.col("first.pos").alias("pos"))
-    )
-    recurring = written(recurring, "span-passages")
     # few records hold recurring passages; from here on only their texts are moved
-    bounds = grams.groupBy("cid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    touching = grams.select("gram", "cid").join(recurring.select("gram"), "gram", "left_semi").select("cid").distinct()
-    texts = written(own.select("cid", "text").join(touching, "cid", "left_semi").dropDuplicates(["cid"]), "span-texts")
-    found = written(routed(recurring, grams, texts).mapInArrow(located, OCCURRENCE).distinct(), "span-occurrences")
+    kept = written(dealt(grams), "span-routes")
+    touching = kept.select("cid").distinct()
+    texts = own.join(touching, "cid", "left_semi").groupBy("cid").agg(F.min("acc").alias("lo"), F.max("acc").alias("hi"), F.first("text").alias("text"))
+    texts = written(texts, "span-texts")
+    bounds, texts = texts.select("cid", "lo", "hi"), texts.select("cid", "text")
+    found = written(routed(kept, texts).mapInArrow(located, OCCURRENCE), "span-occurrences")
     met = (
         found.join(bounds, "cid").groupBy("around")
         .agg(F.min("cid").alias("c"), F.max("cid").alias("d"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n"))
         .filter("c <> d AND lo <> hi").select("around", (F.col("n") > crowd).alias("crowded"))
     )
     places = written(found.join(met, "around"), "span-places")
-    return paired_spans(places.filter("NOT crowded"), texts, bounds), crowd_windows(places.filter("crowded"), texts, bounds), bounds
+    crowded = places.filter("crowded")
+    windows = own.sparkSession.createDataFrame([], "x long, y long, cid long, pos int") if crowded.isEmpty() else crowd_windows(crowded, texts, bounds)
+    return paired_spans(places.filter("NOT crowded"), texts, bounds), windows, bounds
 
 
 def shared_pairs(sections: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -330,7 +339,7 @@ def shared_amounts(sections: DataFrame, crowd: int = CROWD) -> DataFrame:
     row; a null text has 0 characters. Several texts under one section id give the greatest values.
     """
     own = _own(sections)
-    spans, windows, bounds = class_spans(own, crowd)
+    spans, windows, _ = class_spans(own, crowd)
     spans = written(spans, "span-shares")
     sides = spans.selectExpr("cid_a AS cid", "cid_b AS other", "start_a AS start", "n_chars AS n").unionAll(spans.selectExpr("cid_b", "cid_a", "start_b", "n_chars"))
     places = sides.select("cid", "start", "n").unionByName(windows.select("cid", F.col("pos").alias("start"), F.lit(LEAST).alias("n"))).distinct()
@@ -338,8 +347,8 @@ def shared_amounts(sections: DataFrame, crowd: int = CROWD) -> DataFrame:
     before = F.expr("max(start + n) over (partition by cid order by start, n rows between unbounded preceding and 1 preceding)")
     added = F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest(F.col("start"), F.coalesce(F.col("before"), F.lit(0))))
     shared = places.withColumn("before", before).groupBy("cid").agg(F.sum(added).alias("n"))
-    members = own.select("cid", "section_id", F.length("text").alias("size")).distinct()
-    copied = bounds.filter("lo <> hi").select("cid", F.lit(True).alias("whole"))
+    members = own.select("cid", "acc", "section_id", F.length("text").alias("size")).distinct()
+    copied = members.groupBy("cid").agg(F.min("acc").alias("lo"), F.max("acc").alias("hi")).filter("lo <> hi").select("cid", F.lit(True).alias("whole"))
     per = members.join(shared, "cid", "left").join(copied, "cid", "left").groupBy("section_id").agg(F.max(F.when(F.col("whole"), F.col("size")).otherwise(F.col("n"))).alias("n_shared"))
     sizes = sections.filter(F.col("section_id").isNotNull()).groupBy("section_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("n_chars"))
     return sizes.join(per, "section_id", "left").select("section_id", "n_chars", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))

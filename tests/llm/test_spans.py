@@ -109,11 +109,12 @@ def test_one_automaton_for_each_shard(monkeypatch):
 def test_shards_of_a_plan(spark):
     own = spans._own(frame(spark))
     grams = spans.kept_grams(own).cache()
-    recurring = grams.groupBy("gram").agg(F.min(F.struct("cid", "pos")).alias("m")).select("gram", F.col("m.cid").alias("rep"), "m.pos")
-    rows = spans.routed(recurring, grams, own.dropDuplicates(["cid"]).select("cid", "text"), shard_passages=20, slice_chars=5000)
-    n = recurring.count()
+    texts = own.dropDuplicates(["cid"]).select("cid", "text")
+    kept = spans.dealt(grams, shard_passages=20).cache()
+    rows = spans.routed(kept, texts, slice_chars=5000)
+    n = kept.filter("cid = rep").select("rep", "pos").distinct().count()
     held = rows.filter("cid is null").groupBy("shard", "slice").count().collect()
-    assert len({r["shard"] for r in held}) <= -(-n // 20) and max(r["slice"] for r in held) > 0
+    assert 1 < len({r["shard"] for r in held}) <= -(-n // 20) + 1 and max(r["slice"] for r in held) > 0
     assert sum(r["count"] for r in held if r["slice"] == 0) == n  # each passage once in each slice
     assert rows.filter("cid is not null").groupBy("shard", "cid").count().filter("count > 1").count() == 0
 
@@ -136,4 +137,4 @@ def test_a_notice_in_20000_records(spark):
     out = spans.shared_amounts(rows)
     assert out.filter("n_shared BETWEEN 320 AND 340").count() == n  # a few characters beside it agree by chance
     paired, windows, _ = spans.class_spans(spans._own(rows))
-    assert paired.count() == 0 and n * 21 <= windows.count() <= n * 41
+    assert paired.count() < n and n * 21 <= windows.count() <= n * 41
