@@ -6,11 +6,14 @@ rightmost of equals), so that the strongest cut of any permissible window is rea
 the strongest cut of the window up to the limit; the next one begins at the strongest cut of the overlap window
 before it.
 
-The audit looks up the same boundaries at the places where the chunks as they are begin and end.
+The audit puts itself at the places where the chunks as they are begin and end, and asks the index what the splitter
+would have found there: a chunk is oversize if the strongest cut lies before its end; a place inside a word is a defect if
+from the word's beginning a cut lies in the permissible window (a run longer than the limit has none, and must be cut
+hard); the strongest beginning in the overlap window is the first candidate for where two chunks overlap.
 
 Blank means Unicode white space. Null and blank texts give no pieces; a text within the limit is one piece. A run of
-non-blank characters longer than the limit is cut hard. Chunks with a null text or key break no rule; a null ordinal
-has no predecessor. Repeated rows count once. Extra columns are ignored. Empty tables give empty results.
+non-blank characters longer than the limit is cut hard. Chunks with a null text or chunk_id break no rule; those without a
+section_id can only be oversize; a null ordinal has no predecessor. Repeated rows count once. Extra columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import keys
+from ledgerloom.plans.cut import written
 
 #: 512 tokens of 3.6 characters, and 64 tokens of overlap.
 LIMIT = 1843
@@ -57,15 +61,33 @@ class BoundaryIndex:
         best = max(int(self.levels[j][lo]), int(self.levels[j][hi - (1 << j)]))
         return best & ((1 << 40) - 1)
 
-    def inside_word(self, at: int, limit: int = LIMIT) -> bool:
-        """Whether position at parts a run of non-blank characters that is no longer than the limit."""
-        t = self.text
-        if not 0 < at < len(t) or t[at - 1].isspace() or t[at].isspace():
+    def next_end(self, at: int, last: int, limit: int = LIMIT, least: int = 0) -> int:
+        """Where a piece that begins at `at` ends: at last if that is within the limit, else at the strongest cut up to the limit
+        (from `least` characters on), or hard at the limit."""
+        if last - at <= limit:
+            return last
+        lo, hi = np.searchsorted(self.ends, (at + max(least, 1), at + limit + 1))
+        k = self.strongest(int(lo), int(hi))
+        return int(self.ends[k]) if k is not None else at + limit
+
+    def next_start(self, end: int, overlap: int = OVERLAP, least: int = LEAST_OVERLAP) -> int:
+        """Where the piece after one that ends at `end` begins: at the strongest cut of the overlap window before it."""
+        lo, hi = np.searchsorted(self.starts, (end - overlap, end - least + 1))
+        k = self.strongest(int(lo), int(hi))
+        return int(self.starts[k]) if k is not None else end - overlap
+
+    def avoidable(self, at: int, limit: int = LIMIT) -> bool:
+        """Whether position at parts a word that need not be parted: no cut lies there, and from the word's beginning on there is
+        one, or the text's end, within the limit."""
+        size = len(self.text)
+        if not 0 < at < size:
+            return False
+        k = int(np.searchsorted(self.ends, at, "right"))  # the gaps before k begin at or before this place
+        if k and at <= self.starts[k - 1]:
             return False
-        k = int(np.searchsorted(self.starts, at, "right"))
         begin = int(self.starts[k - 1]) if k else 0
-        end = int(self.ends[k]) if k < len(self.ends) else len(t)
-        return end - begin <= limit
+        reach = int(np.searchsorted(self.ends, begin + limit, "right"))
+        return self.strongest(k, reach) is not None or size - begin <= limit
 
 
 def pieces(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST_OVERLAP) -> Iterator[tuple[int, int]]:
@@ -73,22 +95,16 @@ def pieces(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP, least:
     characters. Outer blanks belong to no piece."""
     if not text or not text.strip():
         return
-    first, last = len(text) - len(text.lstrip()), len(text.rstrip())
-    if last - first <= limit:
-        yield first, last
+    at, last = len(text) - len(text.lstrip()), len(text.rstrip())
+    if last - at <= limit:
+        yield at, last
         return
-    index, at = BoundaryIndex(text), first
+    index = BoundaryIndex(text)
     while last - at > limit:
         # half the limit at least, and far enough that stepping back by the overlap still moves on
-        lo = int(np.searchsorted(index.ends, at + max(limit // 2, overlap + 1), "left"))
-        hi = int(np.searchsorted(index.ends, at + limit, "right"))
-        k = index.strongest(lo, hi)
-        end = int(index.ends[k]) if k is not None else at + limit
+        end = index.next_end(at, last, limit, max(limit // 2, overlap + 1))
         yield at, end
-        lo = int(np.searchsorted(index.starts, end - overlap, "left"))
-        hi = int(np.searchsorted(index.starts, end - least, "right"))
-        k = index.strongest(lo, hi)
-        at = int(index.starts[k]) if k is not None else end - overlap
+        at = index.next_start(end, overlap, least)
     yield at, last
 
 
@@ -126,45 +142,72 @@ def overlaps(before: str, text: str, least: int = LEAST_OVERLAP) -> bool:
     return False
 
 
+def places(text: str, chunk: str) -> Iterator[int]:
+    """Where a chunk stands in a text."""
+    at = text.find(chunk) if chunk else -1
+    while at >= 0:
+        yield at
+        at = text.find(chunk, at + 1)
+
+
 def cuts_word(index: BoundaryIndex, chunk: str, limit: int = LIMIT) -> bool:
-    """Whether the chunk, wherever it stands in the section, begins or ends inside a word.
+    """Whether the chunk, wherever it stands in the section, begins or ends inside a word that need not be parted.
 
     False if it stands nowhere, or is empty, or stands at least once without parting a word.
     """
-    if not chunk:
-        return False
-    at = index.text.find(chunk)
-    cut = at >= 0
-    while at >= 0 and cut:
-        cut = index.inside_word(at, limit) or index.inside_word(at + len(chunk), limit)
-        at = index.text.find(chunk, at + 1)
-    return cut
+    found = False
+    for at in places(index.text, chunk):
+        if not (index.avoidable(at, limit) or index.avoidable(at + len(chunk), limit)):
+            return False
+        found = True
+    return found
+
+
+def follows(before: str, text: str, least: int = LEAST_OVERLAP) -> bool:
+    """Whether a chunk overlaps the one before it: where the splitter would have begun it, or else anywhere."""
+    start = BoundaryIndex(before[-2 * OVERLAP :]).next_start(min(len(before), 2 * OVERLAP), OVERLAP, least) if len(before) >= least else 0
+    start += max(0, len(before) - 2 * OVERLAP)
+    return len(before) - start >= least and start >= 0 and text.startswith(before[start:]) or overlaps(before, text, least)
 
 
 FOUND = "chunk_id string, defect string"
+#: Chunks of one section are looked at by so many ordinals a time, and those without an ordinal in so many heaps, so that a
+#: section with very many chunks doesn't gather in one task.
+BLOCK, HEAPS = 512, 64
 
 
 def audit(chunks: DataFrame, sections: DataFrame, limit: int = LIMIT, least: int = LEAST_OVERLAP) -> DataFrame:
     """(chunk_id, defect): oversize, no_overlap and cut_word, each once per chunk.
 
-    Repeated chunk rows are combined first (on the map side too). Sections and chunks are then co-partitioned by section
-    and sorted by ordinal, and each task streams through: it holds one section's text and the chunks of two ordinals.
+    Sections and chunks are co-partitioned by section and block of ordinals in one exchange and sorted by ordinal; each
+    task streams through and holds one section's text and the chunks of two ordinals. The last chunks of a block are also
+    sent to the next one, to be held against. Chunks without a section key are spread by their own.
     """
-    own = chunks.filter(F.col("chunk_id").isNotNull() & F.col("text").isNotNull()).select(
-        keys.section_key(F.col("section_id")).alias("key"), F.lit(1).alias("kind"), F.col("ordinal").cast("int"), "chunk_id", "text"
-    ).distinct()
-    held = sections.filter(F.col("text").isNotNull()).select(
-        keys.section_key(F.col("section_id")).alias("key"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("ordinal"), F.lit("").alias("chunk_id"), "text"
+    key = F.coalesce(keys.section_key(F.col("section_id")), F.concat(F.lit("!"), F.col("chunk_id")))
+    own = chunks.filter(F.col("chunk_id").isNotNull()).select(key.alias("key"), F.col("ordinal").cast("int").alias("ordinal"), "chunk_id", "text")
+    block = F.coalesce(F.floor(F.col("ordinal") / BLOCK).cast("int"), (-1 - F.pmod(F.xxhash64("chunk_id"), F.lit(HEAPS))).cast("int") + F.lit(-(1 << 30)))
+    own = own.withColumn("block", block)
+    # what lies beyond the first block, from key columns alone; nearly always nothing
+    beyond = written(own.filter("block <> 0 AND key NOT LIKE '!%'").select("key", "block").distinct(), "chunk-blocks")
+    held = sections.filter(F.col("text").isNotNull()).select(keys.section_key(F.col("section_id")).alias("key"), "text")
+    held = held.select("key", F.lit(0).alias("block"), "text").unionByName(held.join(beyond, "key").select("key", "block", "text")) if not beyond.isEmpty() else held.withColumn("block", F.lit(0))
+    own = own.filter(F.col("text").isNotNull())
+    edge = F.pmod(F.col("ordinal"), F.lit(BLOCK)) == BLOCK - 1
+    blocks = F.when(edge, F.array("block", F.col("block") + 1)).otherwise(F.array("block"))
+    own = own.select("key", F.posexplode(blocks).alias("again", "block"), "ordinal", "chunk_id", "text")
+    none = F.lit(None)
+    both = held.select("key", "block", F.lit(0).alias("kind"), none.cast("int").alias("ordinal"), none.cast("string").alias("chunk_id"), "text").unionByName(
+        own.select("key", "block", F.lit(1).alias("kind"), "ordinal", F.when(F.col("again") == 0, F.col("chunk_id")).alias("chunk_id"), "text")
     )
-    both = held.unionByName(own).repartition("key").sortWithinPartitions("key", "kind", "ordinal", "chunk_id")
+    both = both.repartition("key", "block").sortWithinPartitions("key", "block", "kind", "ordinal", "chunk_id").select("key", "block", "kind", "ordinal", "chunk_id", "text")
 
     def stream(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, index, number, here, before = None, None, None, {}, {}
         for batch in it:
             found: list[tuple[str, str]] = []
-            for key, kind, ordinal, chunk, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != now or key is None:
-                    now, index, number, here, before = key, None, None, {}, {}
+            for key, block, kind, ordinal, chunk, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, block) != now:
+                    now, index, number, here, before = (key, block), None, None, {}, {}
                 if kind == 0:
                     if index is None or index.text != text:
                         index = BoundaryIndex(text)
@@ -172,11 +215,13 @@ def audit(chunks: DataFrame, sections: DataFrame, limit: int = LIMIT, least: int
                 if ordinal != number:
                     before = here if number is not None and ordinal == number + 1 else {}
                     number, here = ordinal, {}
-                if ordinal is not None and key is not None:
-                    here[hash(text)] = text
-                if len(text) > limit:
+                if ordinal is not None:
+                    here[text] = True
+                if chunk is None:  # sent on to be held against
+                    continue
+                if len(text) > limit and BoundaryIndex(text).next_end(0, len(text), limit) < len(text):
                     found.append((chunk, "oversize"))
-                if any(not overlaps(t, text, least) for t in before.values()):
+                if any(not follows(t, text, least) for t in before):
                     found.append((chunk, "no_overlap"))
                 if index is not None and cuts_word(index, text, limit):
                     found.append((chunk, "cut_word"))

@@ -29,7 +29,7 @@ def check(text, limit, overlap, least=40):
         assert 0 < b - a <= limit
         for at in (a, b):
             # a word is parted only where no blank lies within reach
-            assert not index.inside_word(at, min(limit // 2 - 1, overlap - least) - 1)
+            assert not index.avoidable(at, min(limit // 2 - 1, overlap - least) - 1)
 
 
 def test_pieces_of_prose():
@@ -94,3 +94,33 @@ def test_audit(spark):
     assert splitting.audit(c.limit(0), s).collect() == [] and len(splitting.audit(c, s.limit(0)).collect()) == 3
     out = splitting.split_sections(s)
     assert out.filter("section_id = 'bad'").count() == 0 and out.filter("section_id like '%mdna'").count() == len(good)
+
+
+def test_avoidable_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(40):
+        text = "".join(rng.choices("ab \n.", weights=(9, 9, 2, 1, 1), k=rng.randrange(1, 120)))
+        index = splitting.BoundaryIndex(text)
+        for limit in (3, 10, 200):
+            for at in range(len(text) + 1):
+                a, b = at, at
+                while a > 0 and not text[a - 1].isspace():
+                    a -= 1
+                while b < len(text) and not text[b].isspace():
+                    b += 1
+                assert index.avoidable(at, limit) == (a < at < b and b - a <= limit), (text, at, limit)
+
+
+def test_crowded_sections_are_read_in_blocks(spark, monkeypatch):
+    """Chunks beyond the first block meet the one before them and their section, and so do those without an ordinal."""
+    monkeypatch.setattr(splitting, "BLOCK", 4)
+    acc, body = "0000000001-20-000001", prose(5, 30_000)
+    cut = list(splitting.pieces(body))
+    rows = [(f"{acc}:mdna:{n}", f"{acc}:mdna", n, body[a:b]) for n, (a, b) in enumerate(cut)]
+    word = next(i for i in range(500, 700) if not body[i - 1 : i + 2].split() or len(body[i - 1 : i + 2].split()) == 1 and len(body[i - 1 : i + 2].strip()) == 3) + 1
+    rows[8] = (*rows[8][:3], "w" * 300)  # neither it nor the one after it overlaps
+    rows += [(f"x{n}", f"{acc}:mdna", None, body[word : word + 50]) for n in range(9)] + [(f"y{n}", None, 3, "z" * 1900) for n in range(9)]
+    c = spark.createDataFrame(rows, "chunk_id string, section_id string, ordinal int, text string")
+    s = spark.createDataFrame([(f"{acc}:mdna", body)], "section_id string, text string")
+    got = sorted(map(tuple, splitting.audit(c, s).collect()))
+    assert got == sorted([(rows[8][0], "no_overlap"), (rows[9][0], "no_overlap"), *[(f"x{n}", "cut_word") for n in range(9)], *[(f"y{n}", "oversize") for n in range(9)]])
