@@ -6,12 +6,13 @@ their shingle sets. The distance is the number of differing slots. The signature
 pigeonhole principle two signatures at distance 2 * CHUNKS - 1 or less have a chunk with at most one wrong slot. All
 allowed errors of a chunk are enumerated on both sides by leaving out each of its slots in turn, and equal keys meet.
 So every pair of signatures within GUARANTEE differing slots is a candidate, whatever the data. Beyond that distance
-candidates come with a probability that falls off slowly (a pair at J = 0.6 is missed in about 0.5 % of cases, at
-J = 0.65 in 0.05 %). Candidates are checked exactly on the shingle sets themselves.
+candidates come with a probability that falls off slowly (a pair at J = 0.6 is missed in about 0.035 % of cases, at
+J = 0.65 in 0.001 %). Candidates whose sets can't be similar enough by a bound that is always true are left out; all
+others are checked exactly on the shingle sets themselves.
 
 Texts with equal shingle sets are one class from the start: only a representative gets keys, so copies meet no one.
 Keys are sorted within tasks and equal neighbours paired in blocks as they stream by; a key that very many different
-texts share is spread over tasks.
+texts share is spread over tasks, from the start if a sample of the texts shows it.
 
 Texts with fewer than MIN_WORDS words, and null or empty ones, have no partner. Repeated rows (one section_id) count
 once. A null slug is compared as the empty slug. Extra columns are ignored. Empty tables give an empty result.
@@ -29,19 +30,24 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import keys
 from ledgerloom.llm.grams import WordHashes, mixed, slices, word_kgrams
 from ledgerloom.plans.cut import written
+from ledgerloom.plans.pairs import pairs_within
 
 SHINGLE = 3
 MIN_WORDS = 100
 SIMILARITY = 0.6
-CHUNKS = 20
+CHUNKS = 30
 CHUNK_SLOTS = 6
 SLOTS = CHUNKS * CHUNK_SLOTS
-BITS = 16
+BITS = 8
 GUARANTEE = 2 * CHUNKS - 1
 #: A run of equal keys is paired against itself in blocks of so many.
 BLOCK = 1024
 #: Keys that more ids share are paired in cells, over many tasks.
 CROWD = 4096
+#: One class in so many is looked at to see which keys are crowded; this steers the way, not the result.
+LOOK = 32
+#: Bits of the bitmap by which candidates are bounded.
+MAP_BITS = 2048
 #: Shingles of one text are permuted in parts of so many, so that long texts need no more memory.
 PART = 8192
 
@@ -63,7 +69,7 @@ def signature(shingle_set: np.ndarray) -> np.ndarray:
     least = np.full(SLOTS, 0xFFFFFFFF, np.uint32)
     for b in range(0, len(h), PART):
         np.minimum(least, np.min((h[None, b : b + PART] ^ _XOR[:, None]) * _MULT[:, None], axis=1), out=least)
-    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.uint16)
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.uint8)
 
 
 def chunk_keys(signatures: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -85,8 +91,25 @@ def _sets(texts: list[str], hashes: WordHashes) -> list[np.ndarray | None]:
     return out
 
 
+def bitmap(shingle_set: np.ndarray) -> np.ndarray:
+    """MAP_BITS bits: the set's hashes, each as the bit its low part names; as bytes."""
+    bits = np.zeros(MAP_BITS, bool)
+    bits[(shingle_set & np.uint64(MAP_BITS - 1)).astype(np.int64)] = True
+    return np.packbits(bits)
+
+
+def most_common(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The most elements that two sets of these sizes and bitmaps (rows of bytes) can have in common: each bit of only one
+    of them stands for one element at least that the other lacks."""
+    only_a, only_b = (np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64) for x, y in ((a, b), (b, a)))
+    return np.minimum(n_a - only_a, n_b - only_b)
+
+
+SIGNED = "section_id string, slug string, lo long, hi long, n int, signature binary, map binary"
+
+
 def signed_sections(sections: DataFrame) -> DataFrame:
-    """(section_id, slug, lo, hi, signature): the long enough sections; lo and hi digest the shingle set."""
+    """SIGNED: the long enough sections; lo and hi digest the shingle set, n is its size."""
 
     def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -98,15 +121,16 @@ def signed_sections(sections: DataFrame) -> DataFrame:
                 rows = batch.slice(part.start, len(part)).take(pa.array(keep, pa.int64()))
                 lo = np.array([np.bitwise_xor.reduce(mixed(sets[k])) for k in keep], np.uint64)
                 hi = np.array([sets[k].sum(dtype=np.uint64) for k in keep], np.uint64)
-                signatures = pa.array([signature(sets[k]).tobytes() for k in keep], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), _signed(lo), _signed(hi), signatures], names=["section_id", "slug", "lo", "hi", "signature"]
-                )
+                columns = [
+                    rows.column(0), rows.column(1), _signed(lo), _signed(hi), pa.array([len(sets[k]) for k in keep], pa.int32()),
+                    pa.array([signature(sets[k]).tobytes() for k in keep], pa.binary()), pa.array([bitmap(sets[k]).tobytes() for k in keep], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SIGNED.split(", ")])
 
     own = sections.filter(F.col("section_id").isNotNull() & F.col("text").isNotNull()).select(
         "section_id", F.coalesce(keys.slug(F.col("slug")), F.lit("")).alias("slug"), "text"
     )
-    return own.mapInArrow(sign, "section_id string, slug string, lo long, hi long, signature binary")
+    return own.mapInArrow(sign, SIGNED)
 
 
 def keyed(representatives: DataFrame) -> DataFrame:
@@ -119,7 +143,7 @@ def keyed(representatives: DataFrame) -> DataFrame:
                 part = batch.slice(begin, 2000)
                 salt = np.array([hashes[s] for s in part.column(0).to_pylist()], np.uint64)
                 ids = part.column(1).to_numpy(zero_copy_only=False)
-                signatures = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(len(ids), SLOTS)
+                signatures = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(ids), SLOTS)
                 flat = chunk_keys(signatures, salt).ravel()
                 yield pa.RecordBatch.from_arrays([_signed(flat), pa.array(np.repeat(ids, SLOTS))], names=["key", "id"])
 
@@ -203,9 +227,14 @@ def met(key_rows: DataFrame, crowd: int = CROWD) -> DataFrame:
         yield from out()
 
     schema = "a long, b long, key long"
-    runs = key_rows.repartition("key").sortWithinPartitions("key").mapInArrow(neighbours, schema)
+    few = key_rows.filter(F.pmod(F.xxhash64("id"), F.lit(LOOK)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * LOOK > crowd)
+    seen = written(few.select("key"), "near-duplicate-crowds")
+    known = not seen.isEmpty()
+    rest = key_rows.join(seen, "key", "left_anti") if known else key_rows
+    runs = rest.repartition("key").sortWithinPartitions("key").mapInArrow(neighbours, schema)
     runs = written(runs, "near-duplicate-runs")
-    hot = runs.filter("key is not null").selectExpr("key", "a AS id").distinct()
+    hot = runs.filter("key is not null").selectExpr("key", "a AS id")
+    hot = (hot.unionByName(key_rows.join(seen, "key", "left_semi").select("key", "id")) if known else hot).distinct()
     parts = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / crowd).alias("n"))
     hot = hot.join(parts, "key").select("key", "id", "n", F.pmod(F.xxhash64("id"), "n").alias("own"))
     hot = hot.select("key", "id", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("other"))
@@ -220,22 +249,19 @@ def _couples(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64())], names=["a", "b", "key"])
 
 
-#: Candidates whose signatures differ in more slots than this have J < 0.6 but for one pair in 100,000 at J = 0.6.
-MAX_DISTANCE = 71
-
-
-def near(pairs: DataFrame, representatives: DataFrame) -> DataFrame:
-    """The pairs whose signature distance is at most MAX_DISTANCE."""
-    side = representatives.select("lo", "signature")
-    both = pairs.join(side.toDF("a", "signature_a"), "a").join(side.toDF("b", "signature_b"), "b")
+def possible(pairs: DataFrame, representatives: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets can have the similarity, by their sizes and bitmaps. No pair that has it is left out."""
+    side = representatives.select("lo", "n", "map")
+    both = pairs.join(side.toDF("a", "n_a", "map_a"), "a").join(side.toDF("b", "n_b", "map_b"), "b").filter(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b"))
 
-    def measured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bounded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SLOTS) for c in (2, 3))
-            close = np.flatnonzero((x != y).sum(axis=1) <= MAX_DISTANCE)
-            yield batch.select([0, 1]).take(pa.array(close))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, MAP_BITS // 8) for c in (3, 5))
+            n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 4))
+            common = most_common(n_a, n_b, x, y)
+            yield batch.select([0, 1]).take(pa.array(np.flatnonzero(common >= similarity * (n_a + n_b - common))))
 
-    return both.select("a", "b", "signature_a", "signature_b").mapInArrow(measured, "a long, b long").distinct()
+    return both.select("a", "b", "n_a", "map_a", "n_b", "map_b").mapInArrow(bounded, "a long, b long").distinct()
 
 
 def similar(pairs: DataFrame, representatives: DataFrame, sections: DataFrame, similarity: float) -> DataFrame:
@@ -269,9 +295,9 @@ def linked_classes(sections: DataFrame, similarity: float = SIMILARITY) -> tuple
     A representative stands for the sections of one slug with equal shingle sets; it is the least of their ids.
     """
     signed = written(signed_sections(sections), "near-duplicate-signatures")
-    representatives = signed.groupBy("slug", "lo", "hi").agg(F.min("section_id").alias("rep"), F.min("signature").alias("signature"))
+    representatives = signed.groupBy("slug", "lo", "hi").agg(F.min("section_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("n", "signature", "map")])
     representatives = written(representatives, "near-duplicate-classes")
-    pairs = written(near(met(keyed(representatives)), representatives), "near-duplicate-candidates")
+    pairs = written(possible(met(keyed(representatives)), representatives, similarity), "near-duplicate-candidates")
     linked = similar(pairs, representatives, sections, similarity)
     members = signed.select("section_id", "slug", "lo", "hi").distinct().join(representatives.select("slug", "lo", "hi", "rep"), ["slug", "lo", "hi"]).select("section_id", "rep")
     return members, linked
@@ -282,7 +308,7 @@ def near_duplicates(sections: DataFrame, similarity: float = SIMILARITY) -> Data
     members, linked = linked_classes(sections, similarity)
     # classes of more than one member are expanded; all others stand for themselves
     within = members.join(members.filter("section_id <> rep").select("rep").distinct(), "rep", "left_semi").select("rep", "section_id")
-    same = within.toDF("rep", "x").join(within.toDF("rep", "y"), "rep").filter("x < y").select("x", "y")
+    same = pairs_within(within, ["rep"], "section_id").toDF("x", "y")
     wide = linked
     for side, out in (("rep_a", "x"), ("rep_b", "y")):
         wide = wide.join(within.toDF(side, out), side, "left").withColumn(out, F.coalesce(out, side))

@@ -173,7 +173,7 @@ def follows(before: str, text: str, least: int = LEAST_OVERLAP) -> bool:
 FOUND = "chunk_id string, defect string"
 #: Chunks of one section are looked at by so many ordinals a time, and those without an ordinal in so many heaps, so that a
 #: section with very many chunks doesn't gather in one task.
-BLOCK, HEAPS = 512, 64
+BLOCK, HEAPS = 4096, 64
 
 
 def audit(chunks: DataFrame, sections: DataFrame, limit: int = LIMIT, least: int = LEAST_OVERLAP) -> DataFrame:

@@ -97,10 +97,10 @@ def test_guarantee_of_the_index():
     rng = np.random.default_rng(3)
     salt = np.zeros(2, np.uint64)
     for _ in range(300):
-        a = rng.integers(0, 1 << 16, neardup.SLOTS, dtype=np.uint16)
+        a = rng.integers(0, 1 << neardup.BITS, neardup.SLOTS, dtype=np.uint8)
         b = a.copy()
         at = rng.choice(neardup.SLOTS, neardup.GUARANTEE, replace=False)
-        b[at] ^= rng.integers(1, 1 << 16, len(at), dtype=np.uint16)
+        b[at] ^= rng.integers(1, 1 << neardup.BITS, len(at), dtype=np.uint8)
         keys = neardup.chunk_keys(np.stack([a, b]), salt)
         assert set(keys[0].tolist()) & set(keys[1].tolist())
 
@@ -141,3 +141,36 @@ def test_crowded_keys(spark):
             assert len(got) == len(set(got)) and set(got) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_crowds_seen_beforehand_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LOOK", 2)
+    rows = [(k % 7, n) for k in range(7) for n in range(0, 40 * k, 3)] + [(50 + n % 30, n) for n in range(90)]
+    want = {(a, b) for k in {k for k, _ in rows} for a, b in itertools.combinations(sorted({i for q, i in rows if q == k}), 2)}
+    got = [tuple(r) for r in neardup.met(spark.createDataFrame(rows, "key long, id long"), 16).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 3000), st.integers(0, 3000), st.integers(0, 3000), st.integers(0, 99))
+def test_the_bound_is_never_below_what_sets_share(both, left, right, seed):
+    rng = np.random.default_rng(seed)
+    h = np.unique(rng.integers(0, 1 << 63, both + left + right, dtype=np.uint64))
+    a, b = h[: both + left], np.concatenate([h[:both], h[both + left :]])
+    top = neardup.most_common(np.array([len(a)]), np.array([len(b)]), neardup.bitmap(a)[None], neardup.bitmap(b)[None])
+    assert top[0] >= len(np.intersect1d(a, b))
+
+
+def test_no_link_at_the_threshold_is_lost(spark):
+    """Pairs just above 0.6: the index may miss one in some thousands, the bound none."""
+    rng = random.Random(21)
+    rows = []
+    while len(rows) < 1200:
+        base = rng.choices(VOCABULARY, k=160)
+        other = edited(base, 14, rng)
+        x, y = (set(zip(w, w[1:], w[2:])) for w in (base, other))
+        if 0.6 <= len(x & y) / len(x | y) < 0.63:
+            rows += [(f"t{len(rows):05}", "s", " ".join(base)), (f"t{len(rows):05}+", "s", " ".join(other))]
+    found = {tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "section_id string, slug string, text string")).collect()}
+    true = {(rows[k][0], rows[k + 1][0]) for k in range(0, len(rows), 2)}
+    assert len(true & found) >= 0.998 * len(true)
