@@ -21,3 +21,13 @@ def test_a_hot_group_is_spread(spark):
     plan = pairs_within(df, ["g"], "i", cell=500)
     keys = df.selectExpr("pmod(xxhash64(i), 12) AS p").groupBy("p").count().agg({"count": "max"}).first()[0]
     assert plan.count() == 6000 * 5999 // 2 and keys < 600  # 78 cells of about 500 x 500
+
+
+def test_once_is_distinct(spark):
+    from ledgerloom.plans.once import once
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["x" * 50, "y", None]), n % 7) for n in range(60)] + [("only", "one", 1)]
+    df = spark.createDataFrame(rows, "a string, b string, c int")
+    assert sorted(map(repr, once(df).collect())) == sorted(map(repr, df.distinct().collect()))
+    assert once(df.limit(0)).collect() == [] and once(df.filter("a = 'only'")).count() == 1
