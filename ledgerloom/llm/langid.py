@@ -34,7 +34,7 @@ from ledgerloom.llm.grams import slices
 
 VOCABULARY = "piece_bpe_32k.model"
 FIT_ROWS = 2000
-#: Characters of each sampled row that the fit reads; scoring reads all.
+#: Characters of each sampled row that the fit reads, a bound on the sample like FIT_ROWS; scoring reads all of all rows.
 FIT_CHARS = 20_000
 MIN_CHARS = 150
 #: Nats that a change of language costs, and the most that one word may speak against a language.
@@ -326,18 +326,17 @@ def stretches(model: Model, texts: list[str | None]) -> list[list[tuple[int, int
     return out
 
 
-def fitted(documents: DataFrame, vocabulary: str | None = None, fit_rows: int = FIT_ROWS) -> Model:
-    """A model fitted on about fit_rows labelled rows, chosen by a hash of doc_id."""
-    n = documents.count()
-    share = min(1.0, fit_rows / max(1, n))
+def fitted(documents: DataFrame, vocabulary: str | None = None, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> Model:
+    """A model fitted on about fit_rows labelled rows, chosen by a hash of doc_id, and the first fit_chars characters of each."""
+    share = min(1.0, fit_rows / max(1, documents.count()))
     some = documents.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    rows = some.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select(F.substring("text", 1, FIT_CHARS).alias("text"), "lang").limit(2 * fit_rows).collect()
+    rows = some.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select(F.substring("text", 1, fit_chars).alias("text"), "lang").collect()
     return fit([(r.text, r.lang) for r in rows], read_pieces(vocabulary))
 
 
-def _scanned(documents: DataFrame, schema: str, rows_of, vocabulary: str | None, fit_rows: int) -> DataFrame:
-    """rows_of(doc_id, label, stretches) for each document, with a model fitted on them and sent to every task."""
-    model = fitted(documents, vocabulary, fit_rows)
+def _scanned(documents: DataFrame, schema: str, rows_of, vocabulary: str | None, fit_rows: int, model: Model | None) -> DataFrame:
+    """rows_of(doc_id, label, stretches) for each document, with the given model or one fitted on them, sent to every task."""
+    model = model or fitted(documents, vocabulary, fit_rows)
     shipped = documents.sparkSession.sparkContext.broadcast((list(model.row), model.probability))
     names = [f.split()[0] for f in schema.split(", ")]
     types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}[f.split()[1]] for f in schema.split(", ")]
@@ -356,17 +355,17 @@ def _scanned(documents: DataFrame, schema: str, rows_of, vocabulary: str | None,
     return documents.select("doc_id", "lang", "text").mapInArrow(scan, schema)
 
 
-def segments(documents: DataFrame, vocabulary: str | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
+def segments(documents: DataFrame, vocabulary: str | None = None, fit_rows: int = FIT_ROWS, model: Model | None = None) -> DataFrame:
     """(doc_id, lang_label, start, end, n_chars, lang, confidence): each stretch of one language of every document."""
 
     def rows_of(doc, label, found):
         return [(doc, label, a, b, n, LANGUAGES[lang], confidence) for a, b, n, lang, confidence in found]
 
     schema = "doc_id long, lang_label string, start int, end int, n_chars int, lang string, confidence double"
-    return _scanned(documents, schema, rows_of, vocabulary, fit_rows)
+    return _scanned(documents, schema, rows_of, vocabulary, fit_rows, model)
 
 
-def document_languages(documents: DataFrame, vocabulary: str | None = None, fit_rows: int = FIT_ROWS, min_chars: int = MIN_CHARS) -> DataFrame:
+def document_languages(documents: DataFrame, vocabulary: str | None = None, fit_rows: int = FIT_ROWS, min_chars: int = MIN_CHARS, model: Model | None = None) -> DataFrame:
     """(doc_id, lang_label, lang, n_chars, confidence, n_langs): the languages that count in each document."""
 
     def rows_of(doc, label, found):
@@ -378,7 +377,7 @@ def document_languages(documents: DataFrame, vocabulary: str | None = None, fit_
         return [(doc, label, LANGUAGES[k], chars[k], sure[k] / chars[k], len(counted)) for k in counted]
 
     schema = "doc_id long, lang_label string, lang string, n_chars int, confidence double, n_langs int"
-    return _scanned(documents, schema, rows_of, vocabulary, fit_rows)
+    return _scanned(documents, schema, rows_of, vocabulary, fit_rows, model)
 
 
 def mislabelled(languages: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import keys
 from ledgerloom.plans.cut import written
+from ledgerloom.plans.once import once
 
 MIN_LETTERS = 20
 MIN_FILINGS = 5
@@ -52,13 +53,13 @@ def _bits() -> Column:
     return F.bit_or(F.expr("shiftleft(1L, cast(acc & 63 as int))"))
 
 
-def recurring(sections: DataFrame, filings: DataFrame, min_filings: int = MIN_FILINGS, min_share: float = MIN_SHARE, min_letters: int = MIN_LETTERS) -> DataFrame:
-    """(cik, line, n_filings, n_site): the lines of each site that stand in enough of its filings.
+def recurring(lines: DataFrame, sections: DataFrame, filings: DataFrame, min_filings: int = MIN_FILINGS, min_share: float = MIN_SHARE) -> DataFrame:
+    """(cik, line, n_filings, n_site): the lines of each site that stand in enough of its filings. lines: hashed_lines().
 
     Hashes of lines are joined to their sites, not texts.
     """
     own = sites(filings)
-    words = hashed_lines(sections, min_letters).select("acc", "line").join(own, "acc").groupBy("cik", "line", _word().alias("word")).agg(_bits().alias("bits"))
+    words = lines.select("acc", "line").join(own, "acc").groupBy("cik", "line", _word().alias("word")).agg(_bits().alias("bits"))
     counts = words.groupBy("cik", "line").agg(F.sum(F.bit_count("bits")).alias("n_filings")).filter(F.col("n_filings") >= min_filings)
     held = sections.select(keys.accession_number(F.col("accession")).alias("acc")).distinct().join(own, "acc").groupBy("cik", _word().alias("word")).agg(_bits().alias("bits"))
     totals = held.groupBy("cik").agg(F.sum(F.bit_count("bits")).alias("n_site"))
@@ -67,9 +68,10 @@ def recurring(sections: DataFrame, filings: DataFrame, min_filings: int = MIN_FI
 
 def recurring_line_places(sections: DataFrame, filings: DataFrame, min_letters: int = MIN_LETTERS, **limits) -> DataFrame:
     """(section_id, line_no): every place of every recurring line, each once; line_no counts from 0."""
-    # written, so that its size is known: small enough it is broadcast, else all lines are shuffled to it
-    marks = written(recurring(sections, filings, min_letters=min_letters, **limits).select("cik", "line"), "site-lines")
-    return hashed_lines(sections, min_letters).join(sites(filings), "acc").join(marks, ["cik", "line"], "left_semi").select("section_id", "line_no").distinct()
+    # texts are cut into lines and hashed once; both tables are written, so that their sizes are known to the joins
+    lines = written(hashed_lines(sections, min_letters), "site-line-hashes")
+    marks = written(recurring(lines, sections, filings, **limits).select("cik", "line"), "site-lines")
+    return lines.join(sites(filings), "acc").join(marks, ["cik", "line"], "left_semi").select("section_id", "line_no").distinct()
 
 
 def without_recurring_lines(sections: DataFrame, filings: DataFrame, **limits) -> DataFrame:
@@ -77,15 +79,10 @@ def without_recurring_lines(sections: DataFrame, filings: DataFrame, **limits) -
 
     Rows repeated with one section_id give one row.
     """
-    places = recurring_line_places(sections, filings, **limits).groupBy("section_id").agg(F.collect_set("line_no").alias("drop"))
+    places = recurring_line_places(sections, filings, **limits).groupBy("section_id").agg(F.collect_set("line_no").alias("drop"))  # of one text
     kept = F.expr("array_join(filter(split(text, '\n'), (x, i) -> not array_contains(drop, i)), '\n')")
-    return (
-        sections.select("section_id", "text")
-        .distinct()
-        .join(places, "section_id", "left")
-        .select(
-            "section_id",
-            F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("text"),
-            F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).alias("n_removed"),
-        )
+    return once(sections.select("section_id", "text")).join(places, "section_id", "left").select(
+        "section_id",
+        F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("text"),
+        F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).alias("n_removed"),
     )

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import keys
 from ledgerloom.plans.cut import written
+from ledgerloom.plans.once import once
 
 #: 512 tokens of 3.6 characters, and 64 tokens of overlap.
 LIMIT = 1843
@@ -126,7 +127,7 @@ def split_sections(sections: DataFrame, limit: int = LIMIT, overlap: int = OVERL
                 [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names=["section_id", "ordinal", "start", "text", "token_estimate"]
             )
 
-    return sections.select("section_id", "text").distinct().mapInArrow(cut, PIECES)
+    return once(sections.select("section_id", "text")).mapInArrow(cut, PIECES)
 
 
 def overlaps(before: str, text: str, least: int = LEAST_OVERLAP) -> bool:
