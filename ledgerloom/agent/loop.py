@@ -52,35 +52,45 @@ class Result:
     cost_usd: float = 0.0
 
 
-def decide(reply: Reply) -> dict:
-    """{'tool', 'args'} or {'answer'}: from a native call, JSON, the head of a list, a function form, or plain text."""
+def _arguments(value: object) -> dict:
+    if isinstance(value, str):
+        found = parse_json_loose(value)
+        value = json.loads(found) if found is not None else {}
+    return value if isinstance(value, dict) else {}
+
+
+def decide(reply: Reply) -> dict | None:
+    """{'tool', 'args'} or {'answer'}, or None where a reply says neither.
+
+    Tried in this order: a native call; JSON, whole or within prose, of which a list counts by its first element, as a call,
+    an answer or a function wrapper; a call written as name(key=value); and a tool named somewhere in prose.
+    """
     if reply.call:
         return {"tool": reply.call[0], "args": reply.call[1] or {}}
-    found = parse_json_loose(reply.text)
+    text = reply.text.strip()
+    found = parse_json_loose(text)
     value = json.loads(found) if found is not None else None
-    if isinstance(value, list):
-        value = next((v for v in value if isinstance(v, dict)), None)
+    value = value[0] if isinstance(value, list) and value else value
     if isinstance(value, dict):
-        inner = value.get("function") if isinstance(value.get("function"), dict) else value
+        inner = next((value[k] for k in ("function", "tool_call") if isinstance(value.get(k), dict)), value)
         name = inner.get("tool") or inner.get("name")
-        if name:
-            args = inner.get("args", inner.get("arguments", inner.get("parameters", {})))
-            if isinstance(args, str):
-                try:
-                    args = json.loads(args)
-                except ValueError:
-                    args = {}
-            return {"tool": str(name), "args": args if isinstance(args, dict) else {}}
         if "answer" in value:
             return {"answer": str(value["answer"])}
-    m = re.fullmatch(r"\s*(\w+)\((.*)\)\s*", reply.text, re.S)
+        if name:
+            return {"tool": str(name), "args": _arguments(inner.get("args", inner.get("arguments", inner.get("parameters", {}))))}
+        return None
+    m = re.fullmatch(r"(\w+)\((.*)\)", text, re.S)
     if m:
         try:
             call = ast.parse(f"f({m.group(2)})", mode="eval").body
             return {"tool": m.group(1), "args": {k.arg: ast.literal_eval(k.value) for k in call.keywords if k.arg}}
         except (SyntaxError, ValueError):
-            pass
-    return {"answer": reply.text.strip()}
+            return None
+    m = re.search(r'"tool"\s*:\s*"(\w+)"', text)
+    return {"tool": m.group(1), "args": {}} if m else None
+
+
+_UNCLEAR = 'Reply with one JSON object and nothing else: {"tool": "<name>", "args": {...}} or {"answer": "..."}.'
 
 
 def _use(n: int, name: str, args: dict, tools: dict[str, Tool], seen: set[str]) -> Step:
@@ -120,6 +130,9 @@ def run(
             return result
         result.cost_usd += reply.cost_usd
         decision = decide(reply)
+        if decision is None:  # a slip that the model may mend at its next step
+            messages += [{"role": "assistant", "content": reply.text}, {"role": "user", "content": _UNCLEAR}]
+            continue
         if "answer" in decision:
             result.answer, result.stopped = decision["answer"], "answered"
             return result

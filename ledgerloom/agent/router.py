@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
+import re
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 
-from ledgerloom.operators.extraction import request_key
-from ledgerloom.schemas import BAD_WORDS, GOOD_WORDS
+from ledgerloom import schemas
+from ledgerloom.operators.extraction import Answer, PayloadSchema, request_key
 
 
 @dataclass(frozen=True)
@@ -33,17 +38,6 @@ class CapExceeded(Exception):
     """The call might cost more than is left."""
 
 
-@dataclass
-class Answer:
-    text: str
-    model: str
-    tokens_in: int
-    tokens_out: int
-    cost_usd: float
-    latency_ms: float
-    cached: bool = False
-
-
 @dataclass
 class Router:
     """providers: name -> call(model, request) -> text."""
@@ -55,6 +49,7 @@ class Router:
     most_tokens_out: int = 1024
     sleep: Callable[[float], None] = time.sleep
     cache: dict[str, Answer] = field(default_factory=dict)
+    tracer: object | None = None
     calls: int = 0
     hits: int = 0
     spent_usd: float = 0.0
@@ -75,14 +70,16 @@ class Router:
         if key in self.cache:
             self.hits += 1
             a = self.cache[key]
-            return Answer(a.text, a.model, a.tokens_in, a.tokens_out, 0.0, 0.0, True)
+            return Answer(a.text, a.model, a.tokens_in, a.tokens_out, 0.0, 0.0, True, model.provider)
         size = max(1, len(json.dumps(request)) // 4)
         if self.spent_usd + model.cost(size, self.most_tokens_out) > self.cap_usd:
             raise CapExceeded(f"{model.name} might exceed the cap of {self.cap_usd} dollars")
         began = time.monotonic()
-        text = self._retried(model, request)
-        answer = Answer(text, model.name, size, max(1, len(text) // 4), 0.0, (time.monotonic() - began) * 1000)
-        answer.cost_usd = model.cost(answer.tokens_in, answer.tokens_out)
+        with self.tracer.span(f"llm.{model.name}", "llm", model=model.name, provider=model.provider, tokens_in=size) if self.tracer else nullcontext({"attrs": {}}) as span:
+            text = self._retried(model, request)
+            answer = Answer(text, model.name, size, max(1, len(text) // 4), 0.0, (time.monotonic() - began) * 1000, False, model.provider)
+            answer.cost_usd = model.cost(answer.tokens_in, answer.tokens_out)
+            span["attrs"] |= {"tokens_out": answer.tokens_out, "cost_usd": answer.cost_usd, "cached": False}
         self.spent_usd += answer.cost_usd
         self.cache[key] = answer
         return answer
@@ -112,13 +109,95 @@ def resolve_chain(known: dict[str, Model], chains: dict[str, list[str]], asked:
     return [known[n] for n in names]
 
 
-def heuristic(prompt: str, vocabularies: dict[str, tuple[str, ...]]) -> str:
-    """A deterministic answer by word counts, for offline use: the leaning picks the first, middle or last of each vocabulary
-    (listed from good to bad)."""
-    low = prompt.lower()
-    good, bad = sum(low.count(w) for w in GOOD_WORDS), sum(low.count(w) for w in BAD_WORDS)
-    leaning = (good - bad) / (good + bad) if good + bad else 0.0
-    pick = lambda words: words[0] if leaning > 0.15 else words[-1] if leaning < -0.15 else words[len(words) // 2]
-    sentences = [s.strip() for s in prompt.replace("\n", " ").split(". ") if 25 < len(s) < 400]
-    said = [s for s in sentences if any(w in s.lower() for w in GOOD_WORDS + BAD_WORDS)][:2] or sentences[:1]
-    return json.dumps({k: pick(v) for k, v in vocabularies.items()} | {"confidence": round(0.55 + 0.35 * min(1, abs(leaning)), 3), "rationale": f"leaning {leaning:.3f}", "evidence": said})
+# --- Providers ----------------------------------------------------------------------------------------------------
+
+
+def leaning(text: str) -> float:
+    """(good - bad) / (good + bad) of the counted words, rounded to 3 places; 0 without any. The same as scalars.leaning."""
+    low = text.lower()
+    good, bad = (sum(low.count(w) for w in words) for words in (schemas.GOOD_WORDS, schemas.BAD_WORDS))
+    return round((good - bad) / (good + bad), 3) if good + bad else 0.0
+
+
+def pick(name: str, labels: tuple[str, ...], lean: float) -> str:
+    """The label that fits a leaning; of a vocabulary without a known label, always the same one by the field's name."""
+    wanted = schemas.BAD_LABELS if lean < -0.15 else schemas.GOOD_LABELS if lean > 0.15 else schemas.MIDDLING_LABELS
+    low = {x.lower(): x for x in reversed(labels)}
+    return next((low[w] for w in wanted if w in low), labels[int(hashlib.md5(name.encode()).hexdigest()[:4], 16) % len(labels)])
+
+
+def telling(text: str, lean: float) -> list[str]:
+    """The sentences of middling length with a word of the text's leaning, or else the first one."""
+    fit = [x for x in (s.strip() for s in re.split(r"(?<=[.!?])\s+", text)) if 25 < len(x) < 400]
+    words = schemas.BAD_WORDS if lean < 0 else schemas.GOOD_WORDS
+    return [s for s in fit if any(w in s.lower() for w in words)] or fit[:1]
+
+
+def heuristic(prompt: str, schema: PayloadSchema, quotes: int = 3) -> str:
+    """A deterministic answer of a schema's shape by word counts over the prompt's documents, for offline use."""
+    inner = re.findall(r"<document[^>]*>(.*?)</document>", prompt, re.S | re.I)
+    text = "\n".join(inner) if inner else prompt
+    lean = leaning(text)
+    said = telling(text, lean)
+    way = "negative" if lean < -0.15 else "positive" if lean > 0.15 else "neutral"
+    value = {f: said[0] if said else "" for f in schema.slugs} | {f: pick(f, v, lean) for f, v in schema.vocabularies.items()}
+    value |= {f: round(0.55 + min(abs(lean), 1.0) * 0.35, 3) for f in schema.numbers} | {f: f"The language scans {way} on balance." for f in schema.texts} | {f: said[:quotes] for f in schema.lists}
+    return json.dumps(value, ensure_ascii=False)
+
+
+def scripted(answers: dict[str, str], otherwise: Callable[[Model, dict], str] | None = None) -> Callable[[Model, dict], str]:
+    """A provider that answers by the first needle that the last turn holds."""
+
+    def call(model: Model, request: dict) -> str:
+        turn = str(request.get("complaint") or request.get("prompt") or (request.get("messages") or [{}])[-1].get("content", ""))
+        for needle, text in answers.items():
+            if needle in turn:
+                return text
+        if otherwise is None:
+            raise ValueError("nothing is scripted for this turn")
+        return otherwise(model, request)
+
+    return call
+
+
+def failing(times: int, then: Callable[[Model, dict], str]) -> Callable[[Model, dict], str]:
+    """A provider whose first calls fail in a way that may be tried again."""
+    left = [times]
+
+    def call(model: Model, request: dict) -> str:
+        if left[0] > 0:
+            left[0] -= 1
+            raise Retryable("failing as asked")
+        return then(model, request)
+
+    return call
+
+
+def over_http(url: str, seconds: float = 120.0, headers: dict[str, str] | None = None, read: Callable[[dict], str] = lambda r: r["message"]["content"]) -> Callable[[Model, dict], str]:
+    """A provider behind a chat endpoint: posts {model, messages, stream: false} as JSON and reads the reply's text.
+
+    Timeouts, refused connections and the states 408, 409, 429 and 5xx may be tried again; other failures not.
+    """
+
+    def call(model: Model, request: dict) -> str:
+        messages = request.get("messages") or [{"role": "user", "content": "\n\n".join(x for x in (request.get("prompt"), request.get("complaint")) if x)}]
+        body = json.dumps({"model": model.name, "messages": messages, "stream": False} | ({"format": request["schema"]} if request.get("schema") else {})).encode()
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json"} | (headers or {})), timeout=seconds) as r:
+                return read(json.loads(r.read()))
+        except urllib.error.HTTPError as e:
+            raise (Retryable if e.code in (408, 409, 429) or e.code >= 500 else RuntimeError)(f"{model.name}: state {e.code}") from e
+        except (urllib.error.URLError, TimeoutError, ConnectionError) as e:
+            raise Retryable(f"{model.name}: {e}") from e
+
+    return call
+
+
+def asking(router: Router, schema: PayloadSchema | None = None) -> Callable[[str, str | None], Answer]:
+    """complete(prompt, complaint) for extraction, by a router."""
+    return lambda prompt, complaint: router.complete({"prompt": prompt, "complaint": complaint} | ({"fields": list(schema.fields)} if schema else {}))
+
+
+def offline(schema: PayloadSchema) -> Callable[[str, str | None], Answer]:
+    """complete(prompt, complaint) by the heuristic reader, in the shape of a model's answer."""
+    return lambda prompt, complaint: Answer(heuristic(prompt, schema), "heuristic", provider="offline")

@@ -145,11 +145,13 @@ def quoted_documents(prompt: Column) -> Column:
     return F.when(F.size(inner) > 0, F.array_join(inner, "\n")).otherwise(prompt)
 
 
-def telling_sentences(text: Column, words: tuple[str, ...] = schemas.GOOD_WORDS + schemas.BAD_WORDS, most: int = 3) -> Column:
-    """Sentences of middling length that hold one of the words, or else the first one."""
-    fit = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: (F.length(s) > 25) & (F.length(s) < 400))
-    hit = F.filter(fit, lambda s: F.lower(s).rlike("|".join(words)))
-    return F.when(F.size(hit) > 0, F.slice(hit, 1, most)).otherwise(F.slice(fit, 1, 1))
+def telling_sentences(text: Column, leaning: Column, most: int | None = None) -> Column:
+    """Sentences of middling length that hold a word of the text's leaning (a bad one below 0, else a good one), or else the
+    first of middling length."""
+    fit = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: stripped(s)), lambda s: (F.length(s) > 25) & (F.length(s) < 400))
+    bad, good = ("|".join(words) for words in (schemas.BAD_WORDS, schemas.GOOD_WORDS))
+    hit = F.when(leaning < 0, F.filter(fit, lambda s: F.lower(s).rlike(bad))).otherwise(F.filter(fit, lambda s: F.lower(s).rlike(good)))
+    return F.when(F.size(hit) > 0, hit if most is None else F.slice(hit, 1, most)).otherwise(F.slice(fit, 1, 1))
 
 
 def fitted_text(text: Column, tokens: int, reserve: int = 1200, least: int = 500) -> Column:

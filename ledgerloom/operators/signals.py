@@ -28,9 +28,11 @@ def direction(score: Column, band: float = 0.1) -> Column:
 
 
 def scored(extractions: DataFrame, filings: DataFrame, companies: DataFrame, polarity: Column, version: str = "v1", least_grounded: float = 0.5) -> DataFrame:
-    """(signal_id, name, cik, ticker, accession, as_of, score, confidence, direction) of the valid, grounded extractions.
+    """(signal_id, name, cik, ticker, accession, as_of, score, confidence, direction) of the valid, grounded extractions, and of
+    the columns rationale, evidence and extraction_id those that there are, the last as a list of one.
 
-    A null grounded ratio is not enough. A company that is missing leaves the ticker null.
+    A null grounded ratio is not enough. A company that is missing leaves the ticker null; as_of is the day of report, or of
+    filing, or today.
     """
     rows = (
         extractions.filter(F.col("valid") & (F.col("grounded_ratio") >= least_grounded))
@@ -38,13 +40,36 @@ def scored(extractions: DataFrame, filings: DataFrame, companies: DataFrame, pol
         .join(companies.select("cik", "ticker"), "cik", "left")
     )
     s = score(polarity, F.col("confidence"))
+    more = [c for c in ("rationale", "evidence") if c in extractions.columns] + ([F.array("extraction_id").alias("extraction_ids")] if "rationale" in extractions.columns else [])
     return rows.select(
         scalars.stable_id(F.col("task"), F.col("cik"), F.col("accession"), F.lit(version)).alias("signal_id"),
-        F.col("task").alias("name"), "cik", "ticker", "accession", F.coalesce("report_date", "filing_date").alias("as_of"),
-        s.alias("score"), "confidence", direction(s).alias("direction"),
+        F.col("task").alias("name"), "cik", "ticker", "accession", F.coalesce("report_date", "filing_date", F.current_date()).alias("as_of"),
+        s.alias("score"), "confidence", direction(s).alias("direction"), *more,
     )
 
 
+def score_stored(extractions: DataFrame, filings: DataFrame, companies: DataFrame, tasks: dict, task: str | None = None, cik: str | None = None, version: str = "score-v1") -> DataFrame:
+    """Signals of stored extractions, by today's schemas and polarities: scoring can be changed without asking a model again.
+
+    tasks: name -> (PayloadSchema, polarity of its fields). A stored payload that is no longer valid has no signal; one pass
+    reads every task's.
+    """
+    from ledgerloom.operators.extraction import judged
+
+    rows = extractions.filter(F.col("task").isin(*tasks) & F.col("valid"))
+    for column, value in (("task", task), ("cik", cik)):
+        if value is not None:
+            rows = rows.filter(F.col(column) == value)
+    read = F.lit(None)
+    for name, (schema, polarity) in tasks.items():
+        fields, errors = judged(F.col("payload"), schema)
+        one = F.struct(F.size(errors).alias("wrong"), polarity(fields).alias("polarity"), *[fields[c].alias(c) for c in ("confidence", "rationale", "evidence")])
+        read = F.when(F.col("task") == name, one).otherwise(read)
+    rows = rows.withColumn("read", read).filter("read.wrong = 0")
+    rows = rows.select("extraction_id", "task", "cik", "accession", "valid", "grounded_ratio", "read.polarity", "read.confidence", "read.rationale", "read.evidence")
+    return scored(rows, filings, companies, F.col("polarity"), version).withColumn("pipeline_version", F.lit(version))
+
+
 def composite(signals: DataFrame, weights: dict[str, float], other_weight: float = 0.1) -> DataFrame:
     """(cik, score, coverage, n_names) of each company: its latest signal of each name, weighed.
 
@@ -63,18 +88,23 @@ def composite(signals: DataFrame, weights: dict[str, float], other_weight: float
 
 @dataclass(frozen=True)
 class Rule:
-    """An alert rule: rows that meet the condition (SQL over a signal's columns) get the rule's name and severity."""
+    """An alert rule: rows that meet the condition get the rule's name, its severity and a headline. All three are SQL over a
+    signal's columns; in a headline `label` is the ticker or else the cik."""
 
     name: str
     condition: str
     severity: str
+    headline: str = "label"
 
 
 def alerts(signals: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(alert_id, signal_id, rule, severity): every rule is held against every signal in one pass; none to all may fire."""
-    fired = F.array_compact(F.array(*[F.when(F.expr(r.condition), F.struct(F.lit(r.name).alias("rule"), F.expr(r.severity).alias("severity"))) for r in rules]))
-    rows = signals.select("signal_id", "score", F.explode(fired).alias("a")).select("signal_id", "score", "a.rule", "a.severity")
-    return rows.select(scalars.stable_id(F.col("rule"), F.col("signal_id")).alias("alert_id"), "signal_id", "rule", "severity", "score")
+    """(alert_id, signal_id, rule, severity, headline, detail, score): every rule is held against every signal in one pass; none
+    to all may fire. detail is the signal's rationale, null where signals have none."""
+    rows = signals.withColumn("label", F.coalesce("ticker", "cik")) if "ticker" in signals.columns else signals.withColumn("label", F.col("signal_id"))
+    rows = rows if "rationale" in signals.columns else rows.withColumn("rationale", F.lit(None).cast("string"))
+    fired = [F.when(F.expr(r.condition), F.struct(F.lit(r.name).alias("rule"), F.expr(r.severity).alias("severity"), F.expr(r.headline).alias("headline"))) for r in rules]
+    rows = rows.select("signal_id", "score", "rationale", F.explode(F.array_compact(F.array(*fired))).alias("a"))
+    return rows.select(scalars.stable_id(F.col("a.rule"), F.col("signal_id")).alias("alert_id"), "signal_id", "a.rule", "a.severity", "a.headline", F.col("rationale").alias("detail"), "score")
 
 
 def severity_rank(severity: Column) -> Column:

@@ -32,27 +32,27 @@ def latest(rows: DataFrame, key: str, at: str = "fetched_at") -> DataFrame:
 
 
 def guidance_units(sections: DataFrame, filings: DataFrame, companies: DataFrame, slugs=("mdna", "results_of_operations"), tokens: int = 8000) -> DataFrame:
-    """(section_id, accession, cik, ticker, name, form, period, section_text): sections that may hold guidance."""
+    """(section_id, accession, cik, ticker, name, form, period, section_text, filing_date): sections that may hold guidance."""
     rows = with_filings(sections.filter(F.col("slug").isin(*slugs)), filings, companies)
     return rows.select(
-        "section_id", "accession", "cik", "ticker", "name", "form", period().alias("period"), scalars.fitted_text(F.col("text"), tokens).alias("section_text")
+        "section_id", "accession", "cik", "ticker", "name", "form", period().alias("period"), scalars.fitted_text(F.col("text"), tokens).alias("section_text"), "filing_date"
     )
 
 
 def risk_pairs(sections: DataFrame, filings: DataFrame, companies: DataFrame, slug: str = "risk_factors", forms=("10-K", "10-Q"), tokens: int = 8000) -> DataFrame:
     """Each section of one kind beside the one before it of the same company and form.
 
-    (section_id, accession, cik, form, current_period, prior_period, current_text, prior_text); the first of each has no
+    (section_id, accession, cik, name, form, current_period, prior_period, current_text, prior_text, filing_date); the first of each has no
     row. Filings of one day are ordered by accession.
     """
     rows = with_filings(sections.filter(F.col("slug") == slug), filings.filter(F.col("form").isin(*forms)), companies)
     # texts are cut to their budgets before they are shuffled to the window
     current, prior = (scalars.fitted_text(F.col("text"), int(tokens * part)) for part in (0.6, 0.4))
-    rows = rows.select("section_id", "accession", "cik", "form", "filing_date", period().alias("current_period"), current.alias("current_text"), prior.alias("as_prior"))
+    rows = rows.select("section_id", "accession", "cik", "name", "form", "filing_date", period().alias("current_period"), current.alias("current_text"), prior.alias("as_prior"))
     w = Window.partitionBy("cik", "form").orderBy(F.col("filing_date").asc_nulls_last(), "accession", "section_id")
     pairs = rows.withColumn("prior_text", F.lag("as_prior").over(w)).withColumn("prior_period", F.lag("current_period").over(w))
     return pairs.filter(F.col("prior_text").isNotNull()).select(
-        "section_id", "accession", "cik", "form", "current_period", "prior_period", "current_text", "prior_text", "filing_date"
+        "section_id", "accession", "cik", "name", "form", "current_period", "prior_period", "current_text", "prior_text", "filing_date"
     )
 
 

@@ -57,7 +57,7 @@ def failing_cases(spark, root):
 
 
 def served_models(spark, root):
-    return views.outcomes(spark, root).agg(F.array_join(F.array_sort(F.collect_set(F.nullif("model", F.lit("")))), "+").alias("models"))
+    return evaluation.served_models(views.outcomes(spark, root))
 
 
 def cost_metrics(spark, root):

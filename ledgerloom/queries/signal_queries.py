@@ -5,18 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom import service
+from ledgerloom import service, tasks
 from ledgerloom.operators import extraction, signals
 from ledgerloom.queries import views
 from ledgerloom.queries.views import sql
 
-RULES = (
-    signals.Rule("strong_fall", "score <= -0.5 AND confidence >= 0.6", "'critical'"),
-    signals.Rule("risk_up", "name = 'risk_delta' AND score <= -0.55 AND confidence >= 0.55", "'warn'"),
-    signals.Rule("big_event", "name = 'event_class' AND abs(score) >= 0.6", "CASE WHEN score < 0 THEN 'critical' ELSE 'warn' END"),
-    signals.Rule("strong_rise", "score >= 0.65 AND confidence >= 0.6", "'info'"),
-)
-PRIORITIES = {"invalid": 9, "ungrounded": 7, "low_confidence": 3}
+RULES, PRIORITIES = tasks.RULES, tasks.PRIORITIES
 
 
 def _signals(spark: SparkSession, root: str) -> DataFrame:
@@ -45,7 +39,7 @@ def signals_lowest(spark, root):
 
 
 def alerts_rules(spark, root):
-    return signals.alerts(_signals(spark, root), RULES).drop("score")
+    return signals.alerts(_signals(spark, root), RULES).drop("score", "detail")
 
 
 def alerts_list(spark, root):
@@ -80,14 +74,14 @@ def table_counts(spark, root):
 
 _ALERTS = """, alerts AS (
   SELECT substr(sha256(rule || '|' || signal_id), 1, 24) AS alert_id, * FROM (
-    SELECT 'strong_fall' AS rule, 'critical' AS severity, * FROM signals WHERE score <= -0.5 AND confidence >= 0.6
-    UNION ALL SELECT 'risk_up', 'warn', * FROM signals WHERE name = 'risk_delta' AND score <= -0.55 AND confidence >= 0.55
-    UNION ALL SELECT 'big_event', CASE WHEN score < 0 THEN 'critical' ELSE 'warn' END, * FROM signals WHERE name = 'event_class' AND abs(score) >= 0.6
-    UNION ALL SELECT 'strong_rise', 'info', * FROM signals WHERE score >= 0.65 AND confidence >= 0.6))"""
+    SELECT 'guidance_withdrawn_or_cut' AS rule, 'critical' AS severity, coalesce(ticker, cik) || ': forward guidance deteriorated' AS headline, * FROM signals WHERE name = 'guidance_tone' AND score <= -0.5 AND confidence >= 0.6
+    UNION ALL SELECT 'material_risk_escalation', 'warn', coalesce(ticker, cik) || ': risk disclosure escalated materially', * FROM signals WHERE name = 'risk_delta' AND score <= -0.55 AND confidence >= 0.55
+    UNION ALL SELECT 'high_materiality_event', CASE WHEN score < 0 THEN 'critical' ELSE 'warn' END, coalesce(ticker, cik) || ': material ' || CASE WHEN score > 0 THEN 'positive' ELSE 'negative' END || ' 8-K event', * FROM signals WHERE name = 'event_class' AND abs(score) >= 0.6
+    UNION ALL SELECT 'confident_positive', 'info', coalesce(ticker, cik) || ': positive disclosure signal (' || name || ')', * FROM signals WHERE score >= 0.65 AND confidence >= 0.6))"""
 _RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'warn' THEN 1 WHEN 'info' THEN 2 ELSE 3 END"
 _REVIEW = """, review AS (
   SELECT task || ':' || extraction_id AS review_id, extraction_id, task,
-         CASE WHEN NOT valid THEN 'invalid' WHEN coalesce(grounded_ratio, 0) < 0.5 THEN 'ungrounded' WHEN confidence < CAST(0.45 AS DOUBLE) THEN 'low_confidence' END AS reason FROM ext)"""
+         CASE WHEN NOT valid THEN 'invalid' WHEN coalesce(grounded_ratio, 0) < 1 THEN 'ungrounded' WHEN confidence < CAST(0.45 AS DOUBLE) THEN 'low_confidence' END AS reason FROM ext)"""
 
 QUERIES = {
     f.__name__: f
@@ -108,7 +102,7 @@ SQL = {
     ),
     "signals_for_ticker": sql("SELECT signal_id, name, as_of, score FROM signals WHERE upper(ticker) = 'T7' ORDER BY as_of DESC, abs(score) DESC, signal_id LIMIT 50"),
     "signals_lowest": sql("SELECT signal_id, score FROM signals ORDER BY score, signal_id LIMIT 20"),
-    "alerts_rules": sql(_ALERTS + " SELECT alert_id, signal_id, rule, severity FROM alerts"),
+    "alerts_rules": sql(_ALERTS + " SELECT alert_id, signal_id, rule, severity, headline FROM alerts"),
     "alerts_list": sql(_ALERTS + f" SELECT alert_id, rule, severity, a.name, coalesce(a.ticker, c.ticker) AS ticker, c.name AS company FROM alerts a LEFT JOIN comp c ON c.cik = a.cik ORDER BY {_RANK}, alert_id LIMIT 50"),
     "alerts_by_strength": sql(_ALERTS + f" SELECT alert_id, severity, score FROM alerts ORDER BY {_RANK}, -abs(score), alert_id LIMIT 40"),
     "companies_overview": sql(

@@ -21,11 +21,11 @@ def _model(spark, root):
 
 
 def guidance_units(spark, root):
-    return units.guidance_units(*_model(spark, root)).withColumn("section_text", F.md5("section_text"))
+    return units.guidance_units(*_model(spark, root)).drop("filing_date").withColumn("section_text", F.md5("section_text"))
 
 
 def risk_delta_pairs(spark, root):
-    return units.risk_pairs(*_model(spark, root)).drop("filing_date").withColumn("current_text", F.md5("current_text")).withColumn("prior_text", F.md5("prior_text"))
+    return units.risk_pairs(*_model(spark, root)).drop("filing_date", "name").withColumn("current_text", F.md5("current_text")).withColumn("prior_text", F.md5("prior_text"))
 
 
 def event_text_concat(spark, root):

@@ -96,6 +96,16 @@ LEAST_COVERAGE = {"10-K": 0.60, "10-Q": 0.60, "8-K": 0.10}
 OTHER_COVERAGE = 0.30
 KEY_SECTIONS = ("mdna", "risk_factors")
 
-# Words that a heuristic reader counts as good or bad news (our own choice).
-GOOD_WORDS = ("increase", "growth", "improve", "raised", "strong", "record", "exceed", "expand", "profit", "gain", "favorable", "advance", "climb", "recover")
-BAD_WORDS = ("decrease", "decline", "loss", "impairment", "weak", "lower", "adverse", "litigation", "default", "shortage", "withdraw", "terminate", "fell", "drop", "slip")
+# Words that the heuristic reader counts as good or bad news.
+GOOD_WORDS = (
+    "growth", "grew", "increase", "increased", "record", "raised", "raising", "beat", "exceeded", "expansion", "accelerat", "margin improvement", "tailwind",
+    "strong demand", "upgrade", "buyback", "dividend increase",
+)
+BAD_WORDS = (
+    "decline", "declined", "decrease", "withdrew", "withdrawn", "impairment", "material weakness", "going concern", "restructuring", "layoff", "shortfall", "miss",
+    "headwind", "litigation", "investigation", "downgrade", "delay", "weaker", "lowered", "cut", "loss", "adverse",
+)
+# Labels that a heuristic reader takes for bad, good and middling news, in this order.
+BAD_LABELS = ("bearish", "negative", "deteriorating", "lowered", "high", "down")
+GOOD_LABELS = ("bullish", "positive", "improving", "raised", "low", "up")
+MIDDLING_LABELS = ("neutral", "unchanged", "stable", "medium", "flat")

@@ -1,7 +1,13 @@
+import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
 import pytest
 
 from ledgerloom.agent import loop, sandbox, sqltool
-from ledgerloom.agent.router import CapExceeded, Model, Retryable, Router, heuristic
+from ledgerloom.agent.router import CapExceeded, Model, Retryable, Router, failing, heuristic, over_http, scripted
+from ledgerloom.operators import extraction
+from ledgerloom.operators.tracing import Tracer
 
 REJECTED = [
     "", "-- nothing", "DROP TABLE filings", "SELECT 1; SELECT 2", "INSERT INTO filings VALUES (1)", "WITH x AS (SELECT 1) DELETE FROM filings", "SELECT * FROM parquet.`/etc`", "SELECT * FROM read_csv('/etc/passwd')",
@@ -73,7 +79,8 @@ def test_sandbox_runs():
     ("text", "want"),
     [
         ('{"tool": "t", "args": {"a": 1}}', {"tool": "t", "args": {"a": 1}}), ('```json\n{"name": "t", "arguments": "{\\"a\\": 2}"}\n```', {"tool": "t", "args": {"a": 2}}), ('{"function": {"name": "t", "parameters": {}}}', {"tool": "t", "args": {}}),
-        ('{"answer": "yes"}', {"answer": "yes"}), ('[{"tool": "t"}]', {"tool": "t", "args": {}}), ("t(a=1, b='x')", {"tool": "t", "args": {"a": 1, "b": "x"}}), ("just prose", {"answer": "just prose"}), ("", {"answer": ""}),
+        ('{"answer": "yes"}', {"answer": "yes"}), ('[{"tool": "t"}]', {"tool": "t", "args": {}}), ("t(a=1, b='x')", {"tool": "t", "args": {"a": 1, "b": "x"}}), ("just prose", None), ("", None), ("[]", None), ('{"x": 1}', None),
+        ('I will look: "tool": "t" and so on', {"tool": "t", "args": {}}), ('So {"answer": 3} it is', {"answer": "3"}), ('{"tool_call": {"name": "t", "arguments": "not JSON"}}', {"tool": "t", "args": {}}),
     ],
 )
 def test_decisions(text, want):
@@ -91,7 +98,7 @@ CALL = loop.Reply('{"tool": "add", "args": {"a": 1, "b": 2}}', cost_usd=0.4)
 
 
 def test_loop_bounds():
-    r = loop.run("q", script(CALL, CALL, loop.Reply('{"tool": "nope"}'), loop.Reply('{"tool": "fail"}'), loop.Reply('{"tool": "add", "args": {"c": 1}}'), loop.Reply("done")), TOOLS)
+    r = loop.run("q", script(CALL, CALL, loop.Reply('{"tool": "nope"}'), loop.Reply('{"tool": "fail"}'), loop.Reply('{"tool": "add", "args": {"c": 1}}'), loop.Reply(""), loop.Reply('{"answer": "done"}')), TOOLS)
     assert r.stopped == "answered" and r.answer == "done" and [s.ok for s in r.steps] == [True, False, False, False, False]
     assert "before" in r.steps[1].observation and "ZeroDivisionError" in r.steps[3].observation
     assert loop.run("q", script(*[CALL] * 3), TOOLS, max_steps=2).stopped == "max_steps_reached"
@@ -125,4 +132,50 @@ def test_router():
     with pytest.raises(ValueError):
         Router([Model("a", "x"), Model("b", "p")], {"x": broken, "p": flaky}).complete({})
     assert r.stats() == {"calls": 2, "hits": 0, "hit_rate": 0.0, "spent_usd": round(first.cost_usd, 6)}
-    assert '"direction": "bearish"' in heuristic("Sales fell and a loss is likely. We saw weak demand.", {"direction": ("bullish", "neutral", "bearish")})
+    schema = extraction.PayloadSchema("t", {"direction": ("bullish", "neutral", "bearish"), "other": ("x", "y")}, slugs=("kind",))
+    said = json.loads(heuristic("Do so. <document>Sales declined, and a loss is likely this year. We saw growth.</document>", schema))
+    assert said["direction"] == "bearish" and said["evidence"] == ["Sales declined, and a loss is likely this year."] and said["confidence"] == 0.725 and said["other"] in ("x", "y")
+    assert schema.check(said) == []
+
+
+def test_providers():
+    m = Model("m", "p")
+    call = failing(2, scripted({"first": "1", "second": "2"}))
+    r = Router([m], {"p": call}, sleep=lambda s: None)
+    assert r.complete({"prompt": "the second"}).text == "2" and r.complete({"prompt": "first", "complaint": "second thoughts"}).text == "2"
+    with pytest.raises(ValueError):
+        r.complete({"prompt": "third"})
+    tracer = Tracer()
+    Router([m], {"p": lambda a, b: "x"}, tracer=tracer).complete({"prompt": "p"})
+    assert tracer.rows[0]["kind"] == "llm" and tracer.rows[0]["attrs"]["tokens_out"] == 1
+
+
+def test_over_http():
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            state = {"busy": 503, "no": 404}.get(seen[-1]["model"], 200)
+            body = json.dumps({"message": {"content": "fine"}}).encode()
+            self.send_response(state)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    call = over_http(f"http://127.0.0.1:{server.server_port}/chat")
+    try:
+        assert call(Model("m", "p"), {"prompt": "a", "complaint": "b"}) == "fine" and seen[0]["messages"][0]["content"] == "a\n\nb"
+        with pytest.raises(Retryable):
+            call(Model("busy", "p"), {"prompt": "a"})
+        with pytest.raises(RuntimeError):
+            call(Model("no", "p"), {"prompt": "a"})
+    finally:
+        server.shutdown()
+    with pytest.raises(Retryable):
+        over_http("http://127.0.0.1:9/none", 2)(Model("m", "p"), {"prompt": "a"})

@@ -25,7 +25,7 @@ def cases(spark):
 
 def test_run_and_compare(spark):
     def good(prompt, complaint):
-        return heuristic(prompt, WORDS)
+        return heuristic(prompt, extraction.PayloadSchema("t", WORDS))
 
     def bad(prompt, complaint):
         return "no JSON at all"
@@ -70,7 +70,7 @@ def test_payloads(spark):
     rows = [(1, json.dumps(full)), (2, json.dumps(full | {"direction": "up"})), (3, json.dumps(full | {"x": 1})), (4, '{"direction": "bullish"}'), (5, "prose"), (6, None), (7, "[1]")]
     out = {r.n: r for r in extraction.validated(spark.createDataFrame(rows, "n int, payload string"), "payload", schema).collect()}
     assert [n for n, r in out.items() if r.valid] == [1] and out[1].fields.confidence == 0.85 and out[1].fields.evidence == ["a quote that is long enough"]
-    assert "vocabulary" in out[2].errors[0] and out[3].errors == ["x: unknown field"] and len(out[4].errors) == 3 and out[6].errors == ["not a JSON object"]
+    assert "vocabulary" in out[2].errors[0] and out[3].errors == ["x: unknown field"] and out[4].errors == ["confidence: missing", "rationale: missing"] and out[6].errors == ["not a JSON object"]
 
 
 def test_signals(spark):

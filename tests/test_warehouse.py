@@ -55,7 +55,7 @@ def test_ingest_again_changes_nothing(spark, own):
     n = own.table("chunks").count()
     assert n >= 4 and own.table("chunks").select("chunk_id").distinct().count() == n
     report = ingest.report(p, s, own.table("chunks")).first()
-    assert (report.filings, report.skipped, report.sections, report.chunks) == (3, 0, 3, n)
+    assert (report.filings, report.skipped, report.sections, report.chunks) == (3, 1, 3, n)
     own.replace_children("chunks", own.table("chunks").limit(0), r.filter("accession = 'a-1'"))
     assert own.table("chunks").filter("accession = 'a-1'").count() == 0 and own.table("chunks").count() > 0
 
@@ -139,4 +139,4 @@ def test_extraction_with_repairs(spark):
 
     out = {r.unit_id: r for r in extraction.extract(units, complete, lambda v: [] if "x" in v else ["x is missing"]).collect()}
     assert out["good"].valid and out["good"].repair_attempts == 0 and out["mended"].valid and out["mended"].repair_attempts == 1 and out["mended"].calls == 2
-    assert not out["bad"].valid and out["bad"].calls == 3 and out["bad"].payload == "{}" and out["broken"].error == "no answer" and out["none"].valid
+    assert not out["bad"].valid and out["bad"].calls == 3 and out["bad"].payload == "{}" and out["broken"].error == "RuntimeError: no answer" and out["bad"].latency_ms > 0 and out["none"].valid
