@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom import schemas
 from ledgerloom.functions import documents, keys, scalars
 from ledgerloom.operators import extraction, ingest, retrieval, units
+from ledgerloom.plans.cut import written
 from ledgerloom.queries import views
 from ledgerloom.sources.tables import table
 
@@ -117,7 +118,7 @@ def sections_split(spark, root):
 
 
 def ingest_report(spark, root):
-    p = ingest.parsed(_as_html(spark, root))
+    p = written(ingest.parsed(_as_html(spark, root)), "parsed")
     s = ingest.sections_of(p)
     return ingest.report(p, s, ingest.chunks_of(s, p))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import ingest, observability
+from ledgerloom.plans.cut import written
 from ledgerloom.warehouse import Warehouse
 
 RAW = "accession string, cik string, form string, filing_date date, html string"
@@ -20,13 +21,10 @@ def ingest_into(warehouse: Warehouse, stream: DataFrame, checkpoint: str):
     """Starts ingesting all that has landed; ends when it is done. A batch that is run again changes nothing more."""
 
     def put(batch: DataFrame, _: int) -> None:
-        batch = batch.dropDuplicates(["accession"]).persist()
-        try:
-            parsed = ingest.parsed(batch)
-            sections = ingest.sections_of(parsed)
-            warehouse.ingest_filing_rows(batch.select("accession", "cik", "form", "filing_date"), sections, ingest.chunks_of(sections, batch))
-        finally:
-            batch.unpersist()
+        # each filing is parsed once, and what is written from it is read back from there
+        parsed = written(ingest.parsed(batch.dropDuplicates(["accession"])), "landed")
+        sections = ingest.sections_of(parsed)
+        warehouse.ingest_filing_rows(parsed.select("accession", "cik", "form", "filing_date"), sections, ingest.chunks_of(sections, parsed), ingest.parse_reviews(parsed))
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -39,6 +39,43 @@ def test_upsert(spark, own):
         own.upsert("companies", spark.createDataFrame([("2", None)], "cik string, name string"))
 
 
+def files(own, name):
+    return {b: f for b, f in own.manifest()["tables"].get(name, {}).items()}
+
+
+def test_only_touched_buckets_are_written(spark, own):
+    own.upsert("companies", spark.range(200).selectExpr("CAST(id AS STRING) AS cik", "'n' AS name"))
+    before = files(own, "companies")
+    assert len(before) == 32
+    own.upsert("companies", spark.createDataFrame([("7", "seven")], "cik string, name string"))
+    after = files(own, "companies")
+    assert sum(before[b] != after[b] for b in before) == 1 and own.table("companies").count() == 200 and own.table("companies").filter("cik = '7'").first().name == "seven"
+    parents = spark.createDataFrame([("a-1",), ("a-2",)], "accession string")
+    rows = spark.range(60).selectExpr("concat('a-', id, ':mdna') AS section_id", "concat('a-', id) AS accession", "'mdna' AS slug", "'t' AS text")
+    own.upsert("sections", rows)
+    before = files(own, "sections")
+    own.replace_children("sections", rows.filter("accession = 'a-2'"), parents)
+    assert sum(before[b] != files(own, "sections").get(b) for b in before) <= 2
+    assert own.table("sections").count() == 59 and own.table("sections").filter("accession = 'a-1'").count() == 0
+
+
+def test_one_state_for_all_tables_of_a_write(spark, own, monkeypatch):
+    r = raw(spark)
+    p = ingest.parsed(r)
+    s = ingest.sections_of(p)
+    seen = own.manifest()["version"]
+    own.ingest_filing_rows(r.select("accession", "cik", "form", "filing_date"), s, ingest.chunks_of(s, r), ingest.parse_reviews(p))
+    assert own.manifest()["version"] == seen + 1 and own.table("review_queue").filter("priority = 5").count() == 1
+    state = own.manifest()
+    own.upsert("companies", spark.createDataFrame([("1", "A")], "cik string, name string"))
+    with pytest.raises(warehouse.Conflict):  # begun from a state that is no longer current
+        own._commit(state["version"], {})
+    monkeypatch.setattr(own, "_commit", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        own.upsert("companies", spark.createDataFrame([("2", "B")], "cik string, name string"))
+    assert own.table("companies").count() == 1  # what is only staged is not seen
+
+
 def raw(spark):
     html = f"<p>Item 1A. Risk Factors</p><p>{BODY}</p><p>Item 7. Management's Discussion and Analysis</p><p>{BODY * 9}</p>"
     rows = [("a-1", "1", "10-K", date(2020, 1, 1), html), ("a-2", "1", "10-K", date(2021, 1, 1), None), ("a-3", "2", "8-K", date(2021, 1, 1), "<p>short</p>")]
