@@ -18,7 +18,13 @@ def _rounded(df, places=6):
 
 
 def eval_summary(spark, root):
-    return _rounded(evaluation.summary(views.outcomes(spark, root)), 4)
+    return _rounded(evaluation.summary(views.outcomes(spark, root)).drop("macro_f1", "ece", "brier", "mean_confidence", "overconfidence", "confusion"), 4)
+
+
+def eval_summary_by_model(spark, root):
+    """The calibration, F1 and confusion of the full summary, by model."""
+    s = evaluation.summary(views.outcomes(spark, root), ("model",))
+    return _rounded(s.select("model", "macro_f1", "ece", "brier", "mean_confidence", "overconfidence", "confusion"), 4)
 
 
 def bakeoff(spark, root):
@@ -83,7 +89,8 @@ def daily_costs(spark, root):
 
 
 def confidence_clamp(spark, root):
-    return table(spark, root, "events").select("event_id", clamped_confidence(F.col("value")).alias("confidence"))
+    """Values as they are, and none for every eleventh."""
+    return table(spark, root, "events").select("event_id", clamped_confidence(F.when(F.col("event_id") % 11 != 0, F.col("value") - 1)).alias("confidence"))
 
 
 def upsert_merge(spark, root):
@@ -166,7 +173,7 @@ costs AS (SELECT model, provider, count(*) AS calls, CAST(sum(CASE WHEN cached T
 QUERIES = {
     f.__name__: f
     for f in (
-        eval_summary, bakeoff, macro_f1, confusion, calibration, gate, recommend, failing_cases, served_models, cost_metrics, cost_totals, tracer_summary, cost_cap_prefix, daily_costs, confidence_clamp,
+        eval_summary, eval_summary_by_model, bakeoff, macro_f1, confusion, calibration, gate, recommend, failing_cases, served_models, cost_metrics, cost_totals, tracer_summary, cost_cap_prefix, daily_costs, confidence_clamp,
         upsert_merge, replace_children, cache_probe, cache_stats, sql_tool_query, sql_tool_sets, slug_counts, filings_per_company_form, filings_zip_explode,
     )
 }
@@ -174,7 +181,19 @@ SQL = {
     "eval_summary": sql(
         f"""SELECT count(*) AS n, count(*) FILTER (valid) AS n_valid, {_r('avg(correct::INT)', 4)} AS accuracy, {_r('avg(correct::INT)', 4)} AS direction_accuracy, {_r('avg((NOT valid)::INT)', 4)} AS schema_violation_rate,
         {_r('avg((repair_attempts > 0)::INT)', 4)} AS repair_rate, {_r('avg(repair_attempts)', 4)} AS mean_repairs, {_r('avg(hallucinated::INT) FILTER (valid)', 4)} AS hallucination_rate, {_r('avg(grounded_ratio) FILTER (valid)', 4)} AS mean_grounded_ratio,
-        {_r('quantile_cont(latency_ms, 0.5) FILTER (valid)', 4)} AS latency_p50, {_r('quantile_cont(latency_ms, 0.95) FILTER (valid)', 4)} AS latency_p95, {_r('CAST(sum(CAST(cost_usd AS DECIMAL(18,6))) AS DOUBLE)', 4)} AS cost_usd FROM outcomes"""
+        {_r('quantile_cont(latency_ms, 0.5) FILTER (valid)', 4)} AS latency_p50, {_r('quantile_cont(latency_ms, 0.95) FILTER (valid)', 4)} AS latency_p95, {_r('CAST(sum(CAST(cost_usd AS DECIMAL(18,6))) AS DOUBLE)', 4)} AS cost_usd,
+        {_r('(CAST(sum(CAST(cost_usd AS DECIMAL(18,6))) AS DOUBLE) / count(*) * 1000)', 4)} AS cost_per_1k, 0::BIGINT AS total_tokens FROM outcomes"""
+    ),
+    "eval_summary_by_model": sql(
+        f""", l AS (SELECT DISTINCT model, want AS label FROM outcomes),
+        p AS (SELECT model, label, count(*) FILTER (want = label AND got = label) AS tp, count(*) FILTER (got = label AND want <> label) AS fp, count(*) FILTER (want = label AND (got IS NULL OR got <> label)) AS fn FROM l JOIN outcomes USING (model) GROUP BY ALL),
+        m AS (SELECT model, avg(CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0.0 END) AS f FROM p GROUP BY model),
+        pool AS (SELECT model, confidence, correct::INT::DOUBLE AS hit, least(CAST(floor(confidence * 10) AS INTEGER), 9) AS bin FROM outcomes WHERE valid AND confidence IS NOT NULL),
+        b AS (SELECT model, bin, count(*) AS n, CAST(sum(CAST(confidence AS DECIMAL(18,9))) AS DOUBLE) AS conf, sum(hit) AS hits, CAST(sum(CAST(pow(confidence - hit, 2) AS DECIMAL(18,9))) AS DOUBLE) AS sq FROM pool GROUP BY ALL),
+        t AS (SELECT model, sum(abs(conf - hits)) / sum(n) AS e, sum(sq) / sum(n) AS s, sum(conf) / sum(n) AS c, sum(hits) / sum(n) AS a FROM b GROUP BY model), u AS (SELECT *, {_r('c', 4)} AS mc FROM t),
+        x AS (SELECT model, want, coalesce(got, 'INVALID') AS got, count(*) AS n FROM outcomes GROUP BY ALL),
+        y AS (SELECT model, want, '"' || want || '":{{' || string_agg('"' || got || '":' || n, ',' ORDER BY got) || '}}' AS j FROM x GROUP BY model, want), z AS (SELECT model, '{{' || string_agg(j, ',' ORDER BY want) || '}}' AS confusion FROM y GROUP BY model)
+        SELECT model, {_r(_r('f', 6), 4)} AS macro_f1, {_r(_r('e', 6), 4)} AS ece, {_r(_r('s', 6), 4)} AS brier, {_r('mc', 4)} AS mean_confidence, {_r(_r('(mc - a)', 6), 4)} AS overconfidence, confusion FROM m JOIN u USING (model) JOIN z USING (model)"""
     ),
     "bakeoff": sql(
         f"""SELECT model, n, {_r('a', 4)} AS accuracy, {_r('h', 4)} AS hallucination_rate, {_r('p', 4)} AS latency_p95, a = max(a) OVER () AS is_best
@@ -213,7 +232,7 @@ SQL = {
     ),
     "cost_cap_prefix": sql("SELECT span_id FROM (SELECT span_id, sum(CAST(cost_usd AS DECIMAL(20,8))) OVER (PARTITION BY trace_id ORDER BY CAST(span_id AS BIGINT) ROWS UNBOUNDED PRECEDING) AS r FROM spans) WHERE r <= 7.5"),
     "daily_costs": sql(f", d AS (SELECT CAST(started_at AS DATE) AS day, model, count(*) AS calls, CAST(sum(CAST(cost_usd AS DECIMAL(20,8))) AS DOUBLE) AS c FROM spans GROUP BY 1, 2) SELECT day, model, calls, {_r('c', 6)} AS cost_usd FROM d"),
-    "confidence_clamp": "SELECT event_id, greatest(0.0, least(1.0, CASE WHEN value > 1 AND value <= 100 THEN value / 100 ELSE value END)) AS confidence FROM events",
+    "confidence_clamp": "WITH e AS (SELECT event_id, value - 1 AS v FROM events) SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN greatest(0.0, least(1.0, CASE WHEN v > 1 AND v <= 100 THEN v / 100 ELSE v END)) END AS confidence FROM e",
     "upsert_merge": "SELECT coalesce(n.id, o.c_custkey) AS id, coalesce(n.name, o.c_name) AS name, o.c_mktsegment AS segment FROM customer o FULL JOIN (SELECT s_suppkey * 30 AS id, s_name AS name FROM supplier) n ON n.id = o.c_custkey",
     "replace_children": "SELECT DISTINCT l_orderkey AS accession, l_linenumber AS n, l_partkey AS v FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0) UNION ALL SELECT o_orderkey, 1, -1 FROM orders WHERE o_orderkey % 3 = 0",
     "cache_probe": "WITH c AS (SELECT DISTINCT 'k' || (event_id % 400) AS key FROM events WHERE event_id % 6 = 0), r AS (SELECT DISTINCT 'k' || (event_id % 700) AS key FROM events) SELECT r.key, CASE WHEN c.key IS NULL THEN 'miss' ELSE 'hit' END AS what FROM r LEFT JOIN c USING (key)",
