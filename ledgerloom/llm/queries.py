@@ -17,6 +17,14 @@ def p1_statistics(spark: SparkSession, root: str) -> DataFrame:
     return quality.statistics(table(spark, root, "sections"))
 
 
+def p1_ratios(spark: SparkSession, root: str) -> DataFrame:
+    """The counts and ratios of the statistics."""
+    from ledgerloom.functions.scalars import round_half_away
+
+    s = quality.statistics(table(spark, root, "sections"))
+    return s.select("section_id", "n_chars", "n_solid", "n_words", "n_lines", *[round_half_away(F.col(c), 9).alias(c) for c in ("mean_word", "symbol_ratio", "ended_lines")])
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, root, "sections"))
 
@@ -93,7 +101,7 @@ WITH sites AS (
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_statistics, p2_found, p2_groups, p3_found, p3_cleaned, p4_found, p4_shares, p5_found, p5_pieces, p7_ids, p8_found, p8_runs, p9_found, p9_segments)
+    for f in (p1_found, p1_statistics, p1_ratios, p2_found, p2_groups, p3_found, p3_cleaned, p4_found, p4_shares, p5_found, p5_pieces, p7_ids, p8_found, p8_runs, p9_found, p9_segments)
 }
 SQL = {
     "p2_found": r"""
@@ -146,6 +154,57 @@ dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: arr
 SELECT DISTINCT doc_id, case_id FROM dg JOIN cg USING (g)""",
 }
 
+_SHINGLED = SQL["p2_found"].rpartition("SELECT c.a AS")[0]
+_BLANK = r"\s\p{Z}\x{85}\x{1C}-\x{1F}\x{0B}"
+SQL |= {
+    "p1_ratios": rf"""
+WITH w AS (SELECT section_id, text, length(regexp_replace(text, '[{_BLANK}]+', '', 'g')) AS solid, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS ws,
+  list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '[{_BLANK}]+$', '')), lambda x: x <> '') AS ls FROM sections),
+r AS (SELECT *, list_sum(list_transform(ws, lambda x: length(x)))::DOUBLE AS l, len(list_filter(ls, lambda x: regexp_matches(x, '[.!?。！？:;]$'))) AS e FROM w)
+SELECT section_id, length(text)::BIGINT AS n_chars, CASE WHEN text IS NOT NULL THEN solid END::BIGINT AS n_solid, len(ws)::BIGINT AS n_words, len(ls)::BIGINT AS n_lines,
+  CASE WHEN len(ws) > 0 THEN floor(l / len(ws) * 1e9::DOUBLE + 0.5::DOUBLE) / 1e9::DOUBLE END AS mean_word,
+  CASE WHEN solid > 0 THEN floor((solid - coalesce(l, 0)) / solid * 1e9::DOUBLE + 0.5::DOUBLE) / 1e9::DOUBLE END AS symbol_ratio,
+  CASE WHEN solid > 0 THEN floor(e / len(ls) * 1e9::DOUBLE + 0.5::DOUBLE) / 1e9::DOUBLE END AS ended_lines FROM r""",
+    "p2_groups": _SHINGLED.replace("WITH s AS", "WITH RECURSIVE s AS", 1)
+    + """, e AS (SELECT c.a, c.b FROM c JOIN n x ON x.section_id = c.a JOIN n y ON y.section_id = c.b WHERE k >= 0.6 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON w.a = r.b),
+kind AS (SELECT section_id, md5(array_to_string(list_sort(list(g)), chr(1))) AS k FROM t GROUP BY section_id),
+links AS (SELECT w.a, count(DISTINCT y.k) AS n FROM both_ways w JOIN kind x ON x.section_id = w.a JOIN kind y ON y.section_id = w.b WHERE x.k <> y.k GROUP BY w.a)
+SELECT n.section_id, least(n.section_id, min(r.b)) AS group_id, coalesce(max(l.n), 0)::BIGINT AS n_links FROM n LEFT JOIN reach r ON r.a = n.section_id LEFT JOIN links l ON l.a = n.section_id GROUP BY n.section_id""",
+    "p4_shares": r"""
+WITH s AS (SELECT DISTINCT section_id, regexp_replace(accession, '[^0-9]', '', 'g') AS acc, text FROM sections WHERE length(text) >= 300),
+w AS (SELECT section_id, acc, i, hash(substr(text, i, 300)) AS h FROM (SELECT section_id, acc, text, unnest(range(1, length(text) - 298)) AS i FROM s)),
+r AS (SELECT h FROM w GROUP BY h HAVING min(acc) <> max(acc)),
+k AS (SELECT section_id, i, lead(i) OVER (PARTITION BY section_id ORDER BY i) AS after FROM w JOIN r USING (h)),
+c AS (SELECT section_id, sum(least(300, coalesce(after - i, 300)))::BIGINT AS n FROM k GROUP BY section_id)
+SELECT section_id, max(coalesce(length(text), 0))::BIGINT AS n_chars, coalesce(max(n), 0)::BIGINT AS n_shared FROM sections LEFT JOIN c USING (section_id) WHERE section_id IS NOT NULL GROUP BY section_id""",
+    "p5_pieces": rf"""
+WITH RECURSIVE s AS (SELECT DISTINCT section_id, text FROM sections WHERE regexp_matches(text, '[^{_BLANK}]')),
+tok AS (SELECT section_id, text, regexp_extract_all(text, '[^{_BLANK}]+|[{_BLANK}]+') AS ts FROM s),
+pos AS (SELECT section_id, unnest(ts) AS x, generate_subscripts(ts, 1) AS n FROM tok),
+run AS (SELECT section_id, x, n, sum(length(x)) OVER (PARTITION BY section_id ORDER BY n) AS b, lag(x) OVER (PARTITION BY section_id ORDER BY n) AS before FROM pos),
+gap AS (SELECT section_id, list({{'e': b - length(x), 's': b, 'k': CASE WHEN length(x) - length(replace(x, chr(10), '')) >= 2 THEN 4 WHEN contains(x, chr(10)) THEN 3 WHEN regexp_matches(before, '[.!?。！？]$') THEN 2 ELSE 1 END}} ORDER BY n) AS gs FROM run WHERE regexp_matches(x, '^[{_BLANK}]') GROUP BY section_id),
+own AS (SELECT s.section_id, s.text, coalesce(gs, []) AS gs, length(text) - length(regexp_replace(text, '^[{_BLANK}]+', '')) AS first, length(regexp_replace(text, '[{_BLANK}]+$', '')) AS last FROM s LEFT JOIN gap USING (section_id)),
+step AS (
+  SELECT section_id, text, gs, last, 0 AS n, first::BIGINT AS a, CASE WHEN last - first <= 1843 THEN last ELSE coalesce(list_last(list_sort(list_transform(list_filter(gs, lambda g: g.e >= first + 921 AND g.e <= first + 1843), lambda g: [g.k, g.e])))[2], first + 1843) END::BIGINT AS b FROM own
+  UNION ALL
+  SELECT section_id, text, gs, last, n + 1, nx, CASE WHEN last - nx <= 1843 THEN last ELSE coalesce(list_last(list_sort(list_transform(list_filter(gs, lambda g: g.e >= nx + 921 AND g.e <= nx + 1843), lambda g: [g.k, g.e])))[2], nx + 1843) END::BIGINT
+  FROM (SELECT *, coalesce(list_last(list_sort(list_transform(list_filter(gs, lambda g: g.s >= b - 230 AND g.s <= b - 40), lambda g: [g.k, g.s])))[2], b - 230)::BIGINT AS nx FROM step WHERE b < last)
+)
+SELECT section_id, n::INTEGER AS ordinal, a::INTEGER AS start, substr(text, a + 1, b - a) AS text, CAST(greatest(1, round_even((b - a) / 3.6::DOUBLE, 0)) AS INTEGER) AS token_estimate FROM step""",
+    "p8_runs": r"""
+WITH cases AS (SELECT DISTINCT case_id, unnest([variables['section_text'], variables['current_text'], variables['prior_text']]) AS passage FROM eval_cases),
+cw AS (SELECT case_id, hash(passage) AS p, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS w FROM cases WHERE passage IS NOT NULL),
+cg AS (SELECT case_id, p, unnest(range(1, len(w) - 11)) AS i, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM cw WHERE len(w) >= 13),
+dw AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM dw WHERE len(w) >= 13),
+m AS (SELECT doc_id, case_id, p, dg.i - cg.i AS diagonal, dg.i FROM dg JOIN cg USING (g)),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, case_id, p, diagonal ORDER BY i) AS island FROM m),
+n AS (SELECT doc_id, case_id, count(*) + 12 AS n FROM r GROUP BY doc_id, case_id, p, diagonal, island)
+SELECT case_id, count(DISTINCT doc_id) AS n_documents, max(n)::BIGINT AS longest_run FROM n GROUP BY case_id""",
+}
+
 
 def queries() -> dict:
     return dict(QUERIES)
