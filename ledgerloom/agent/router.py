@@ -98,6 +98,36 @@ class Router:
         return {"calls": self.calls, "hits": self.hits, "hit_rate": round(self.hits / self.calls, 3) if self.calls else 0.0, "spent_usd": round(self.spent_usd, 6)}
 
 
+@dataclass
+class Registry:
+    """Models, chains of them and embedding models of a settings file."""
+
+    models: dict[str, Model]
+    chains: dict[str, list[str]] = field(default_factory=dict)
+    embeddings: dict[str, dict] = field(default_factory=dict)
+    default_embedding: str | None = None
+
+    @classmethod
+    def read(cls, path: str) -> Registry:
+        from ledgerloom.sources.filings import read_settings
+
+        s = read_settings(path)
+        models = {n: Model(n, e.get("provider", ""), float(e.get("price_in") or 0), float(e.get("price_out") or 0)) for n, e in s["models"].items()}
+        return cls(models, s["chains"], s["embeddings"], s["default_embedding"])
+
+    def chain(self, asked: str | list[str] | None = None, **where) -> list[Model]:
+        return [self.models[n] for n in asked] if isinstance(asked, list) else resolve_chain(self.models, self.chains, asked, **where)
+
+    def embedding(self, asked: str | None = None, env: dict[str, str] | None = None, variable: str = "LEDGERLOOM_EMBEDDING") -> dict:
+        """The embedding model asked for, else named by the environment, else the file's default."""
+        import os
+
+        name = asked or (os.environ if env is None else env).get(variable) or self.default_embedding
+        if name not in self.embeddings:
+            raise KeyError(f"no embedding model {name!r}")
+        return self.embeddings[name] | {"name": name}
+
+
 def resolve_chain(known: dict[str, Model], chains: dict[str, list[str]], asked: str | None = None, env: dict[str, str] | None = None, variable: str = "LEDGERLOOM_CHAIN", default: str = "default") -> list[Model]:
     """The models to try: of the chain (or the one model) asked for, else named by the environment, else the default chain."""
     import os

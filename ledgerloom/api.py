@@ -26,13 +26,42 @@ def routes(service: Service) -> dict:
     }
 
 
+_KINDS = {int: "integer", float: "number", str: "string"}
+
+
+def openapi(service: Service) -> dict:
+    """The paths and their arguments in OpenAPI's form."""
+    described = {
+        path: {"get": {"parameters": [{"name": n, "in": "query", "schema": {"type": _KINDS[k]}} for n, k in kinds.items()], "responses": {"200": {"description": "rows"}, "422": {"description": "bad arguments"}}}}
+        for path, (_, kinds) in routes(service).items()
+    }
+    described["/companies/{ticker}/composite"] = {"get": {"parameters": [{"name": "ticker", "in": "path", "required": True, "schema": {"type": "string"}}], "responses": {"200": {"description": "row"}, "404": {"description": "no signals"}}}}
+    return {"openapi": "3.0.3", "info": {"title": "Ledgerloom", "version": "1"}, "paths": described}
+
+
+#: A page that shows signals, alerts and costs by the paths above.
+DASHBOARD = """<!doctype html><meta charset="utf-8"><title>Ledgerloom</title><h1>Ledgerloom</h1><div id="all"></div><script>
+for (const path of ["/health", "/alerts?limit=20", "/signals?limit=20", "/metrics/cost", "/review?limit=20"])
+  fetch(path).then(r => r.json()).then(rows => {
+    const box = document.createElement("section"), head = document.createElement("h2"), table = document.createElement("table");
+    head.textContent = path; box.append(head, table); document.getElementById("all").append(box);
+    const line = cells => { const tr = table.insertRow(); for (const c of cells) tr.insertCell().textContent = c ?? ""; };
+    if (Array.isArray(rows) && rows.length) { line(Object.keys(rows[0])); for (const r of rows) line(Object.values(r)); }
+  });
+</script>"""
+
+
 def answer(service: Service, target: str) -> tuple[int, object]:
     """(status, value) of a GET."""
     parts = urlsplit(target)
     known = routes(service)
     try:
-        if parts.path == "/":
-            return 200, {"paths": sorted([*known, "/companies/{ticker}/composite"])}
+        if parts.path == "/paths":
+            return 200, {"paths": sorted([*known, "/config", "/openapi.json", "/companies/{ticker}/composite"])}
+        if parts.path == "/config":
+            return 200, service.config()
+        if parts.path == "/openapi.json":
+            return 200, openapi(service)
         if parts.path.startswith("/companies/") and parts.path.endswith("/composite"):
             found = _rows(service.company_composite(unquote(parts.path.split("/")[2])))
             return (200, found[0]) if found else (404, {"error": "no signals"})
@@ -52,15 +81,17 @@ def serve(service: Service, port: int = 8000, model=None) -> ThreadingHTTPServer
     """A server that is ready to serve_forever(); POST /agent asks the given model, within the loop's bounds."""
 
     class Handler(BaseHTTPRequestHandler):
-        def _send(self, status: int, value: object) -> None:
-            body = json.dumps(value, default=str).encode()
+        def _send(self, status: int, value: object, kind: str = "application/json") -> None:
+            body = value.encode() if kind != "application/json" else json.dumps(value, default=str).encode()
             self.send_response(status)
-            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Type", kind)
             self.send_header("Content-Length", str(len(body)))
             self.end_headers()
             self.wfile.write(body)
 
         def do_GET(self) -> None:  # noqa: N802
+            if self.path == "/":
+                return self._send(200, DASHBOARD, "text/html; charset=utf-8")
             self._send(*answer(service, self.path))
 
         def do_POST(self) -> None:  # noqa: N802

@@ -74,16 +74,20 @@ def search(chunks: DataFrame, embeddings: DataFrame, query: str, model: str, mod
     return fused(vector_search(vectors, embed(query), OVERFETCH * k), keyword_search(own, query, OVERFETCH * k), k)
 
 
-def pending(chunks: DataFrame, embeddings: DataFrame, model: str, accessions: list[str] | None = None) -> DataFrame:
-    """Chunks without a vector of the model yet."""
+def pending(chunks: DataFrame, embeddings: DataFrame, model: str, accessions: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Chunks without a vector of the model yet; with a limit the first so many by chunk_id, as a batch of an index build."""
     own = chunks if accessions is None else chunks.filter(F.col("accession").isin(accessions))
-    return own.join(embeddings.filter(F.col("model") == model), "chunk_id", "left_anti")
+    rows = own.join(embeddings.filter(F.col("model") == model).select("chunk_id"), "chunk_id", "left_anti")
+    return rows if limit is None else rows.orderBy("chunk_id").limit(limit)
 
 
-def embedded(chunks: DataFrame, model: str, size: int = 64) -> DataFrame:
-    """(chunk_id, model, dim, vec): hash vectors of chunks, in Arrow batches."""
-    vec = documents.columns()["hash_embed"](F.col("text"))
-    return chunks.select("chunk_id", F.lit(model).alias("model"), F.lit(size).alias("dim"), vec.cast("array<float>").alias("vec"))
+def embedded(chunks: DataFrame, model: str, size: int = 64, embed=None) -> DataFrame:
+    """(chunk_id, model, dim, vec): vectors of chunks, in Arrow batches; embed: a Column function of the text, hash vectors
+    without one. A vector of another size is an error."""
+    vec = (embed or documents.columns()["hash_embed"])(F.col("text")).cast("array<float>")
+    rows = chunks.select("chunk_id", F.lit(model).alias("model"), F.lit(size).alias("dim"), vec.alias("vec"))
+    wrong = F.raise_error(F.format_string(f"{model}: a vector of %d values, not {size}", F.size("vec"))).cast("array<float>")
+    return rows.withColumn("vec", F.when(F.col("vec").isNotNull() & (F.size("vec") != size), wrong).otherwise(F.col("vec")))
 
 
 def index_stats(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:

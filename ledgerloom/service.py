@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom import tasks
 from ledgerloom.agent import loop, sandbox, sqltool
 from ledgerloom.operators import observability, retrieval, signals
 from ledgerloom.warehouse import Warehouse
@@ -18,12 +19,17 @@ def _bounded(name: str, value: int, least: int, most: int) -> int:
 
 class Service:
     def __init__(self, warehouse: Warehouse, weights: dict[str, float] | None = None, model: str = "hash-64"):
-        self.warehouse, self.weights, self.model = warehouse, weights or {}, model
+        self.warehouse, self.weights, self.model = warehouse, tasks.WEIGHTS if weights is None else weights, model
 
     def health(self) -> DataFrame:
         """(table_name, n_rows) of the main tables."""
         return table_counts({n: self.warehouse.table(n) for n in ("filings", "signals", "alerts", "companies", "sections", "chunks")})
 
+    def config(self) -> dict:
+        """What this service is set to; no secrets."""
+        state = self.warehouse.manifest()
+        return {"warehouse": self.warehouse.path, "read_only": self.warehouse.read_only, "state": state["version"], "buckets": state["buckets"], "embedding": self.model, "weights": self.weights, "tasks": sorted(tasks.TASKS), "rules": [r.name for r in tasks.RULES]}
+
     def list_signals(self, limit: int = 50, **filters) -> DataFrame:
         return signals.listed(self.warehouse.table("signals"), self.warehouse.table("companies"), limit=_bounded("limit", limit, 1, 500), **filters)
 

@@ -97,7 +97,9 @@ def load_cases(spark: SparkSession, path: str, task: str | None = None) -> DataF
     rows = lines.select("value", F.from_json("value", CASE + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("c"))
     bad = rows.filter(F.col("c._corrupt_record").isNotNull() | F.col("c.case_id").isNull()).limit(1).collect()
     if bad:
-        raise ValueError(f"{path}: not a case: {bad[0].value[:200]}")
+        # only now lines are numbered: of the file as a whole
+        whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "value")).filter(F.col("value") == bad[0].value)
+        raise ValueError(f"{path}:{(whole.agg(F.min('n')).first()[0] or 0) + 1}: not a case: {bad[0].value[:200]}")
     cases = rows.select("c.case_id", "c.task", "c.label", "c.notes", "c.variables")
     if task is not None:
         cases = cases.filter(F.col("task") == task)
@@ -153,16 +155,32 @@ class CachedFetcher:
         return data
 
 
-def load_registry(spark: SparkSession, path: str) -> DataFrame:
-    """(name, provider, model, price_in, price_out) of a YAML or JSON file of model settings."""
+def read_settings(path: str) -> dict:
+    """A YAML or JSON file of models, chains and embeddings, as plain values; models and embeddings by name.
+
+    Either may be a mapping by name or a list of entries with a name; embeddings may stand under `models` beside a `default`.
+    """
     text = Path(path).read_text()
     try:
-        entries = json.loads(text)
+        read = json.loads(text)
     except ValueError:
         import yaml
 
-        entries = yaml.safe_load(text)
-    rows = [(n, e.get("provider"), e.get("model"), float(e.get("price_in") or 0), float(e.get("price_out") or 0)) for n, e in (entries.get("models") or entries).items()]
+        read = yaml.safe_load(text) or {}
+    named = lambda x: {e["name"]: e for e in x} if isinstance(x, list) else dict(x or {})
+    vectors = read.get("embeddings") or {}
+    inner = vectors.get("models", vectors) if isinstance(vectors, dict) else vectors
+    rest = {k: v for k, v in read.items() if k not in ("chains", "embeddings")}
+    return {
+        "models": named(read["models"] if "models" in read else rest), "chains": read.get("chains") or {},
+        "embeddings": {k: v for k, v in named(inner).items() if k != "default"}, "default_embedding": vectors.get("default") if isinstance(vectors, dict) else None,
+    }
+
+
+def load_registry(spark: SparkSession, path: str) -> DataFrame:
+    """(name, provider, model, price_in, price_out) of a file of model settings."""
+    entries = read_settings(path)["models"]
+    rows = [(n, e.get("provider"), e.get("model") or e.get("model_id"), *(float(e.get(k) or 0) for k in ("price_in", "price_out"))) for n, e in entries.items()]
     return spark.createDataFrame(rows, "name string, provider string, model string, price_in double, price_out double")
 
 
@@ -191,6 +209,13 @@ class Prompts:
                 raise ValueError(f"{f}: {key} exists twice")
             self.entries[key] = head | {"body": body, "hash": hashlib.sha256(body.encode()).hexdigest()[:16]}
 
+    def manifest(self) -> list[dict]:
+        """Name, version, task and hash of every prompt."""
+        return [{k: e.get(k) for k in ("name", "version", "task", "hash")} for e in self.entries.values()]
+
+    def versions(self, name: str) -> list[str]:
+        return [v for n, v in self.entries if n == name]
+
     def get(self, name: str, version: str | None = None) -> dict:
         """A prompt by version, or its highest version (v10 after v9)."""
         if version is None:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import api
-from ledgerloom.agent.router import Model, heuristic, resolve_chain
+from ledgerloom.agent.router import Model, Registry, heuristic, resolve_chain
 from ledgerloom.functions import jsonschema
 from ledgerloom.operators import evaluation, extraction, observability, signals
 from ledgerloom.service import Service
@@ -99,8 +99,8 @@ def test_sources(spark, tmp_path):
     assert filings.load_cases(spark, str(tmp_path / "cases.jsonl")).first().label == {"d": "x"}
     with pytest.raises(ValueError, match="no cases"):
         filings.load_cases(spark, str(tmp_path / "cases.jsonl"), "other")
-    (tmp_path / "broken.jsonl").write_text('{"case_id": \n')
-    with pytest.raises(ValueError, match="not a case"):
+    (tmp_path / "broken.jsonl").write_text('// note\n{"case_id": "a", "task": "t", "label": {"d": "x"}, "variables": {"v": "y"}}\n{"case_id": \n')
+    with pytest.raises(ValueError, match="broken.jsonl:3: not a case"):
         filings.load_cases(spark, str(tmp_path / "broken.jsonl"))
 
 
@@ -160,4 +160,44 @@ def test_api(spark, tmp_path):
     s = Service(Warehouse.open(spark, f"file://{tmp_path}/w"))
     assert api.answer(s, "/health")[0] == 200 and api.answer(s, "/signals?limit=5")[1] == []
     assert api.answer(s, "/signals?limit=9999")[0] == api.answer(s, "/metrics/cost?days=0")[0] == api.answer(s, "/search?query=x&k=a")[0] == api.answer(s, "/review?x=1")[0] == 422
-    assert api.answer(s, "/nowhere")[0] == 404 and api.answer(s, "/companies/zz/composite")[0] == 404 and "/alerts" in api.answer(s, "/")[1]["paths"]
+    assert api.answer(s, "/nowhere")[0] == 404 and api.answer(s, "/companies/zz/composite")[0] == 404 and "/alerts" in api.answer(s, "/paths")[1]["paths"]
+    assert api.answer(s, "/config")[1]["tasks"] == ["event_class", "guidance_tone", "risk_delta"] and "/signals" in api.answer(s, "/openapi.json")[1]["paths"]
+
+
+def test_settings_with_chains_and_embeddings(tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps({"models": [{"name": "a", "provider": "p", "price_in": 1}, {"name": "b", "provider": "q"}], "chains": {"default": ["b", "a"]}, "embeddings": {"default": "e", "models": [{"name": "e", "provider": "p", "dim": 8}, {"name": "f", "dim": 9}]}}))
+    r = Registry.read(str(tmp_path / "m.json"))
+    assert [m.name for m in r.chain(env={})] == ["b", "a"] and [m.name for m in r.chain(["a"])] == ["a"] and r.models["a"].price_in == 1.0
+    assert r.embedding(env={})["dim"] == 8 and r.embedding(env={"LEDGERLOOM_EMBEDDING": "f"})["name"] == "f"
+    with pytest.raises(KeyError):
+        r.embedding("zz")
+
+
+def test_index_in_batches(spark):
+    from ledgerloom.operators import retrieval
+
+    chunks = spark.createDataFrame([(f"c{n}", "a-1", "words here") for n in range(5)], "chunk_id string, accession string, text string")
+    have = retrieval.embedded(chunks.filter("chunk_id = 'c0'"), "m")
+    assert [r.chunk_id for r in retrieval.pending(chunks, have, "m", limit=2).collect()] == ["c1", "c2"] and retrieval.pending(chunks, have, "m", ["zz"]).count() == 0
+    with pytest.raises(Exception, match="not 32"):
+        retrieval.embedded(chunks, "m", 32).collect()
+
+
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    from ledgerloom import cli
+
+    monkeypatch.setattr(cli, "_spark", lambda: spark)
+    at = ["--warehouse", f"file://{tmp_path}/w"]
+    body = "Orders declined in the northern district, and a loss is expected. We withdrew our outlook for the year. " * 4
+    page = {"accession": "k-1", "cik": "1", "form": "10-K", "filing_date": "2020-01-01", "html": f"<p>Item 7. Management's Discussion and Analysis</p><p>{body}</p>"}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps(page))
+    (tmp_path / "cases.jsonl").write_text(json.dumps({"case_id": "a", "task": "guidance_tone", "label": {"direction": "bearish"}, "variables": {"section_text": body}}) + "\n")
+    assert cli.main([*at, "init-db"]) == 0 and cli.main([*at, "ingest", str(tmp_path / "in")]) == 0
+    Warehouse.open(spark, at[1]).upsert("companies", spark.createDataFrame([("1", "A", "AA")], "cik string, name string, ticker string"))
+    for command in (["extract", "guidance_tone"], ["score"], ["signals"], ["alerts"], ["index"], ["search", "northern orders"], ["review"], ["doctor"], ["eval", "run", "guidance_tone", str(tmp_path / "cases.jsonl")], ["runs"]):
+        assert cli.main([*at, *command]) == 0, command
+    said = capsys.readouterr().out
+    assert "forward guidance deteriorated" in said and "k-1:mdna" in said
+    assert cli.main([*at, "eval", "gate", "guidance_tone", str(tmp_path / "cases.jsonl")]) == 0 and cli.main([*at, "agent", "why"]) == 2
+    assert cli.main(["prompts"]) == 0 and cli.main(["models"]) == 0
