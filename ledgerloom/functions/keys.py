@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANK = r"[\s\p{Z}]"
+#: What counts as white space, as a class of Java's patterns: all that Unicode does.
+BLANK = r"[\s\p{Z}\x85\x1c-\x1f]"
 
 
 def stripped(col: Column) -> Column:

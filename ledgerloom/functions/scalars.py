@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas
-from ledgerloom.functions.keys import stripped
+from ledgerloom.functions.keys import BLANK, stripped
 
 
 def round_half_away(x: Column, places: int) -> Column:
@@ -55,9 +55,14 @@ def stable_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 24)
 
 
+def single_spaced(text: Column) -> Column:
+    """With outer white space gone and inner runs of it one blank."""
+    return F.trim(F.regexp_replace(text, f"{BLANK}+", " "))
+
+
 def squeezed(text: Column) -> Column:
     """Lower-cased, with outer blanks gone and inner ones single."""
-    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    return F.lower(single_spaced(text))
 
 
 def alphanumeric(text: Column) -> Column:
@@ -77,12 +82,12 @@ def clamped_confidence(x: Column) -> Column:
 
 def tidy_quotes(quotes: Column, least: int = 15, longest: int = 500, most: int = 5) -> Column:
     """Quotes with single blanks, without short ones, cut and capped."""
-    clean = F.transform(quotes, lambda q: F.trim(F.regexp_replace(q, r"\s+", " ")))
+    clean = F.transform(quotes, single_spaced)
     return F.slice(F.transform(F.filter(clean, lambda q: F.length(q) >= least), lambda q: F.substring(q, 1, longest)), 1, most)
 
 
 def tidy_list(items: Column, longest: int = 300, most: int = 10) -> Column:
-    return F.slice(F.transform(items, lambda q: F.substring(F.trim(F.regexp_replace(q, r"\s+", " ")), 1, longest)), 1, most)
+    return F.slice(F.transform(items, lambda q: F.substring(single_spaced(q), 1, longest)), 1, most)
 
 
 def truncated(text: Column, most: int = 4000) -> Column:
@@ -148,7 +153,7 @@ def quoted_documents(prompt: Column) -> Column:
 def telling_sentences(text: Column, leaning: Column, most: int | None = None) -> Column:
     """Sentences of middling length that hold a word of the text's leaning (a bad one below 0, else a good one), or else the
     first of middling length."""
-    fit = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: stripped(s)), lambda s: (F.length(s) > 25) & (F.length(s) < 400))
+    fit = F.filter(F.transform(F.split(text, rf"(?<=[.!?]){BLANK}+"), lambda s: stripped(s)), lambda s: (F.length(s) > 25) & (F.length(s) < 400))
     bad, good = ("|".join(words) for words in (schemas.BAD_WORDS, schemas.GOOD_WORDS))
     hit = F.when(leaning < 0, F.filter(fit, lambda s: F.lower(s).rlike(bad))).otherwise(F.filter(fit, lambda s: F.lower(s).rlike(good)))
     return F.when(F.size(hit) > 0, hit if most is None else F.slice(hit, 1, most)).otherwise(F.slice(fit, 1, 1))

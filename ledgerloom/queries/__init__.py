@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.queries import chain_queries, quality_queries, references, signal_queries, text_queries
+from ledgerloom.queries import chain_queries, more_queries, quality_queries, references, signal_queries, text_queries
 
-MODULES = (references, signal_queries, text_queries, quality_queries, chain_queries)
+MODULES = (references, signal_queries, text_queries, quality_queries, chain_queries, more_queries)
 
 
 def queries() -> dict:

@@ -355,8 +355,8 @@ SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id OR
     "pending_index_anti": "SELECT CAST(doc_id AS VARCHAR) AS chunk_id FROM documents d LEFT JOIN (SELECT vec_id FROM embeddings WHERE label = 1) e ON e.vec_id = d.doc_id WHERE e.vec_id IS NULL",
     "index_stats": "SELECT 'm' || label AS model, count(*) AS n_vectors, CAST(min(len(embedding)) AS INTEGER) AS dim FROM embeddings GROUP BY label UNION ALL SELECT NULL, count(*), NULL FROM chunks",
     "grounding_exact_alnum": f"""WITH c AS (SELECT DISTINCT chunk_id, {_SEC.format('section_id')} AS k, substr(text, 20, 60) AS quote FROM chunks), s AS (SELECT DISTINCT {_SEC.format('section_id')} AS k, text FROM sections),
-n AS (SELECT chunk_id, lower(trim(regexp_replace(quote, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS q, lower(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS t, regexp_replace(lower(quote), '[^a-z0-9]+', '', 'g') AS bq, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS bt FROM c JOIN s USING (k))
-SELECT chunk_id, CASE WHEN contains(t, q) THEN 'exact' WHEN length(bq) > 0 AND contains(bt, bq) THEN 'normalised' ELSE 'none' END AS method FROM n""",
+n AS (SELECT chunk_id, lower(trim(regexp_replace(quote, '{_BLANK}+', ' ', 'g'))) AS q, lower(trim(regexp_replace(text, '{_BLANK}+', ' ', 'g'))) AS t, regexp_replace(lower(quote), '[^a-z0-9]+', '', 'g') AS bq, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS bt FROM c JOIN s USING (k))
+SELECT chunk_id, CASE WHEN length(q) > 0 AND contains(t, q) THEN 'exact' WHEN length(bq) > 0 AND contains(bt, bq) THEN 'normalised' ELSE 'none' END AS method FROM n""",
     "token_estimate": "SELECT doc_id, greatest(1, CAST(round_even(length(text) / 3.6::DOUBLE, 0) AS INTEGER)) AS tokens, greatest(1, CAST(floor(length(text) / 4) AS INTEGER)) AS approx FROM documents",
     "lexicon_counts": f"WITH n AS (SELECT doc_id, {_COUNT(schemas.GOOD_WORDS)} AS good, {_COUNT(schemas.BAD_WORDS)} AS bad FROM documents WHERE text IS NOT NULL) SELECT doc_id, good, bad, CASE WHEN good + bad > 0 THEN {_round('((good - bad) / (good + bad)::DOUBLE)', 3)} ELSE 0.0 END AS leaning FROM n",
     "fitted_texts": f"SELECT DISTINCT section_id, CAST(length({_fit('text', 1400)}) AS INTEGER) AS n, md5({_fit('text', 1400)}) AS digest FROM sections",
@@ -366,7 +366,7 @@ SELECT chunk_id, CASE WHEN contains(t, q) THEN 'exact' WHEN length(bq) > 0 AND c
 a AS ({" UNION ALL ".join(f"SELECT section_id, '{f}' AS form, {'own' if c is None else repr(c)} AS item, title FROM h" for f, c in _ASKED)})
 SELECT DISTINCT section_id, form, item, title, {_slug_sql("form", "item", "lower(trim(regexp_replace(title, '" + _BLANK + "+', ' ', 'g')))")} AS slug FROM a""",
     "event_slugs": "SELECT DISTINCT regexp_replace(left(regexp_replace(lower(trim(name)), '[^a-z0-9_]+', '_', 'g'), 60), '^_+|_+$', '', 'g') AS slug FROM companies",
-    "evidence_tidy": "SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(text, '. '), lambda x: trim(regexp_replace(x, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), lambda x: length(x) >= 40)[1:4], lambda x: md5(left(x, 90))), ',') AS quotes FROM documents WHERE text IS NOT NULL",
+    "evidence_tidy": "SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(text, '. '), lambda x: trim(regexp_replace(x, '[\\s\\p{Z}\\x{85}\\x{1C}-\\x{1F}\\x{0B}]+', ' ', 'g'))), lambda x: length(x) >= 40)[1:4], lambda x: md5(left(x, 90))), ',') AS quotes FROM documents WHERE text IS NOT NULL",
     "payload_validate": f"""WITH k AS (SELECT event_id, event_id % {len(_PAYLOADS)} AS kind, value FROM events)
 SELECT event_id, kind IN (6, 9) AS valid, list_extract({list(_ERRORS)!r}, CAST(kind + 1 AS INTEGER)) AS errors, CASE WHEN kind IN (6, 9) THEN 'bearish' END AS direction,
   CASE kind WHEN 2 THEN 0.5::DOUBLE WHEN 4 THEN 1.0::DOUBLE WHEN 5 THEN 1.0::DOUBLE WHEN 9 THEN 0.25::DOUBLE WHEN 6 THEN {_round("greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN value > 1 AND value <= 100 THEN value / 100 ELSE value END))", 9)} END AS confidence,
