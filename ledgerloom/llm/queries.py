@@ -118,7 +118,7 @@ SELECT t.section_id, CAST(length(CASE WHEN d.gone IS NULL THEN t.text ELSE array
 FROM texts t LEFT JOIN drops d USING (section_id)""",
     "p4_found": r"""
 WITH s AS (SELECT DISTINCT section_id, regexp_replace(accession, '[^0-9]', '', 'g') AS acc, text FROM sections WHERE length(text) >= 300),
-w AS (SELECT section_id, acc, hash(substr(text, i, 300)) AS h FROM (SELECT section_id, acc, text, unnest(range(1, length(text) - 298)) AS i FROM s)),
+w AS (SELECT section_id, acc, md5_number(substr(text, i, 300)) AS h FROM (SELECT section_id, acc, text, unnest(range(1, length(text) - 298)) AS i FROM s)),
 r AS (SELECT h FROM w GROUP BY h HAVING min(acc) <> max(acc)),
 k AS (SELECT DISTINCT w.* FROM w JOIN r USING (h))
 SELECT DISTINCT a.section_id AS section_a, b.section_id AS section_b FROM k a JOIN k b ON a.h = b.h AND a.acc <> b.acc AND a.section_id < b.section_id""",
@@ -174,7 +174,7 @@ links AS (SELECT w.a, count(DISTINCT y.k) AS n FROM both_ways w JOIN kind x ON x
 SELECT n.section_id, least(n.section_id, min(r.b)) AS group_id, coalesce(max(l.n), 0)::BIGINT AS n_links FROM n LEFT JOIN reach r ON r.a = n.section_id LEFT JOIN links l ON l.a = n.section_id GROUP BY n.section_id""",
     "p4_shares": r"""
 WITH s AS (SELECT DISTINCT section_id, regexp_replace(accession, '[^0-9]', '', 'g') AS acc, text FROM sections WHERE length(text) >= 300),
-w AS (SELECT section_id, acc, i, hash(substr(text, i, 300)) AS h FROM (SELECT section_id, acc, text, unnest(range(1, length(text) - 298)) AS i FROM s)),
+w AS (SELECT section_id, acc, i, md5_number(substr(text, i, 300)) AS h FROM (SELECT section_id, acc, text, unnest(range(1, length(text) - 298)) AS i FROM s)),
 r AS (SELECT h FROM w GROUP BY h HAVING min(acc) <> max(acc)),
 k AS (SELECT section_id, i, lead(i) OVER (PARTITION BY section_id ORDER BY i) AS after FROM w JOIN r USING (h)),
 c AS (SELECT section_id, sum(least(300, coalesce(after - i, 300)))::BIGINT AS n FROM k GROUP BY section_id)
